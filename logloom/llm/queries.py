@@ -1,10 +1,14 @@
 """The registered queries of the training-data operators: each applies its operator to its whole table."""
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import linededup, sharding
-from logloom.llm.common import UPPER, read_table
+from logloom.llm import chat, linededup, media, packing, sharding, warc
+from logloom.llm.common import UPPER, Scratch, read_table
 
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +16,74 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=16)
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(docs, "doc_id", "text", *paths).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+#: A conversation of control strings that is formatted with the table's.
+HARD_CONVERSATION = [(-7, t, role, "\\### Assistant: </turn> ok") for t, role in enumerate(("user", "assistant"))]
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return digest_examples(chat.format_conversations(turns.unionByName(hard)))
+
+
+def digest_examples(examples: DataFrame) -> DataFrame:
+    """What the examples of a conversation say when they are read back; streams over runs of one conversation."""
+
+    def read(batches):
+        rows, fields = [], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], fields)
+        for conv, last, learned, chars in runs(batches):
+            turns = chat.parse(last)
+            digest = hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+            loss = "".join(learned)
+            rows.append((conv, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars))
+            if len(rows) == 5000:
+                yield make()
+                rows = []
+        if rows:
+            yield make()
+
+    def runs(batches):
+        """Only the last example of a conversation is kept whole: it has all turns."""
+        now = None
+        for b in batches:
+            for conv, _, text, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or now[0] != conv:
+                    if now is not None:
+                        yield now
+                    now = (conv, "", [], 0)
+                now = (conv, text, [*now[2], chat.unescape(text[start:end])] if start >= 0 else now[2], now[3] + len(text))
+        if now is not None:
+            yield now
+
+    return examples.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw"))
+    n = F.length("raw")
+    fill = F.greatest(F.lit(64), F.ceil(n / 64).cast("int") * 64) - n
+    stored = media.store_samples(docs.select("doc_id", n.cast("long").alias("n_bytes"), F.concat("raw", F.unhex(F.repeat(F.lit("00"), fill))).alias("payload")))
+    sniffed = media.sniff(stored.drop("payload"))
+    whole = F.col("spans")[0]
+    read = sniffed.withColumn("payload", media.piece(F.col("media"), whole["body_start"], whole["body_end"]))
+    size = F.length("payload")
+    kinds = F.array_join(F.transform("spans", lambda s: F.concat(s["type"], F.lit("@"), s["start"].cast("string"), F.lit("+"), (s["end"] - s["start"]).cast("string"))), ";")
+    return read.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", size - 63, F.lit(64))).cast("long").alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(" ", "true_type", F.when(F.col("corrected"), F.lit("corrected")).otherwise(F.lit("declared")), kinds).alias("feature"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_bitmap(F.col("text"), F.col("drops"))
@@ -38,5 +110,15 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM judged GROUP BY doc_id
 """
 
-QUERIES = {"op1_shard": op1_shard, "op8_line_dedup": op8_line_dedup}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    archives = scratch.table(warc.write_archives(warc.elect(read_table(spark, sf_dir, "pages"))), "monolithic")
+    records = warc.read_records(scratch.table(warc.normalise(archives), "normalised"))
+    return records.select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+QUERIES = {"op1_shard": op1_shard, "op3_pack": op3_pack, "op4_chat": op4_chat, "op5_media": op5_media, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc}
 ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
