@@ -29,7 +29,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back.  name may be used once for each Scratch."""
-        df.write.parquet(f"{self.root}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")  # the default codec holds memory outside the heap for each column read
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def _delete(self, path: str) -> None:

@@ -5,7 +5,7 @@ into contiguous shards so that the largest shard is as small as possible.  The s
 binary search; each trial runs the greedy check "take groups while they fit".
 
 The greedy check needs one question answered: which is the last group end at or before x?  All group ends live in a
-distributed table; the driver holds only histogram bins of it (BINS at first, then BINS more for each bin that a trial
+distributed table; the driver holds only histogram bins of it (FIRST_BINS, then BINS more for each bin that a trial
 could not decide), so its memory has a bound that does not depend on the number of groups.
 
 Defined results: null text is a group of its own with size 1; an empty text has size 1 too and is another group; null
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import Scratch
 
-#: Histogram bins for each refinement: a bound on what the driver collects at once.
-BINS = 4096
+#: Histogram bins for the first pass, and for each bin that is refined: a bound on what the driver collects at once.
+FIRST_BINS, BINS = 1 << 16, 4096
 
 
 class _Ends:
@@ -30,12 +30,12 @@ class _Ends:
     def __init__(self, table: DataFrame, total: int):
         self.table, self.total = table, total
         self.bins: list[tuple[int, int, int, int]] = []  # lo, hi, least end, greatest end; only bins with ends
-        self._refine([(0, total)])
+        self._refine([(0, total)], FIRST_BINS)
 
-    def _refine(self, spans: list[tuple[int, int]]) -> None:
+    def _refine(self, spans: list[tuple[int, int]], bins: int = BINS) -> None:
         which, width = None, None
         for i, (lo, hi) in enumerate(spans):
-            step = max(1, -(-(hi - lo) // BINS))
+            step = max(1, -(-(hi - lo) // bins))
             inside = (F.col("end") > lo) & (F.col("end") <= hi)
             cell = F.floor((F.col("end") - lo - 1) / step)
             which = F.when(inside, F.lit(i)) if which is None else which.when(inside, F.lit(i))
@@ -50,7 +50,7 @@ class _Ends:
         self.bins = [b for b in self.bins if (b[0], b[1]) not in set(spans)]
         for r in found:
             lo, hi = spans[r["span"]]
-            step = max(1, -(-(hi - lo) // BINS))
+            step = max(1, -(-(hi - lo) // bins))
             start = lo + r["cell"] * step
             self.bins.append((start, min(hi, start + step), r["a"], r["b"]))
         self.bins.sort()
