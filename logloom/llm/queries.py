@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, linededup, media, packing, sharding, warc
+from logloom.llm import chat, decontaminate, linededup, media, neardup, packing, sharding, warc
 from logloom.llm.common import UPPER, Scratch, read_table
 
 
@@ -16,6 +16,39 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, shards=16)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_overlaps(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    hit = decontaminate.n_hit(F.col("hits"))
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+OP2_SQL = f"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS k
+  FROM iw, LATERAL (SELECT unnest(range(1, greatest(len(w) - 8, 2))) AS i) WHERE len(w) > 0
+), keys AS (SELECT DISTINCT n, k FROM win), lens AS (SELECT DISTINCT n FROM win),
+occ AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM dw, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)
+), hit AS (SELECT occ.* FROM occ JOIN keys USING (n, k)),
+hit_words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hit, LATERAL (SELECT unnest(range(0, n)) AS j) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit JOIN win USING (n, k)) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -84,6 +117,25 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: Cheap on the smaller tables only: it lists all shingles and counts what each pair of documents shares.
+OP6_SQL = f"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM dw, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM both_ JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM dw UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
+SELECT dw.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least_id AS component_id, dw.doc_id = least_id AS kept
+FROM dw LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS least_id FROM reach GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_bitmap(F.col("text"), F.col("drops"))
@@ -120,5 +172,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_shard": op1_shard, "op3_pack": op3_pack, "op4_chat": op4_chat, "op5_media": op5_media, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc}
-ORACLE_SQL = {"op8_line_dedup": OP8_SQL}
+QUERIES = {
+    "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_pack": op3_pack, "op4_chat": op4_chat, "op5_media": op5_media,
+    "op6_near_dedup": op6_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc,
+}
+ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op6_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
