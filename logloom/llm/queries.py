@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontaminate, linededup, media, neardup, packing, sharding, warc
+from logloom.llm import chat, decontaminate, linededup, media, neardup, packing, sharding, toxicity, warc
 from logloom.llm.common import UPPER, Scratch, read_table
 
 
@@ -136,6 +136,12 @@ FROM dw LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(r) AS least_id F
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
+    return toxicity.score_documents(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_bitmap(F.col("text"), F.col("drops"))
@@ -174,6 +180,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_pack": op3_pack, "op4_chat": op4_chat, "op5_media": op5_media,
-    "op6_near_dedup": op6_near_dedup, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc,
+    "op6_near_dedup": op6_near_dedup, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op6_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
