@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontaminate, linededup, media, neardup, packing, sharding, toxicity, warc
+from logloom.llm import chat, decontaminate, linededup, media, neardup, packing, repeats, sharding, toxicity, warc
 from logloom.llm.common import UPPER, Scratch, read_table
 
 
@@ -168,6 +168,15 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM judged GROUP BY doc_id
 """
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return cut.select(
+        "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     archives = scratch.table(warc.write_archives(warc.elect(read_table(spark, sf_dir, "pages"))), "monolithic")
@@ -180,6 +189,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_shard": op1_shard, "op2_decontaminate": op2_decontaminate, "op3_pack": op3_pack, "op4_chat": op4_chat, "op5_media": op5_media,
-    "op6_near_dedup": op6_near_dedup, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op10_warc": op10_warc,
+    "op6_near_dedup": op6_near_dedup, "op7_toxicity": op7_toxicity, "op8_line_dedup": op8_line_dedup, "op9_repeats": op9_repeats, "op10_warc": op10_warc,
 }
 ORACLE_SQL = {"op2_decontaminate": OP2_SQL, "op6_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
