@@ -37,6 +37,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_key)
     hashed = keyed.select(F.struct(F.xxhash64("key").alias("a"), F.xxhash64(F.lit("b"), F.col("key")).alias("b")).alias("h"), "id", "text_hash", "pos")
+    hashed = scratch.table(hashed, "hashes")  # range partitioning reads its input twice
     order = ["h", F.col("id").asc_nulls_first(), "text_hash", "pos"]
     laid = scratch.table(hashed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
     doc = F.struct(F.col("id").isNotNull().alias("some"), "id")
