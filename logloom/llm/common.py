@@ -21,6 +21,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: The default codec holds memory outside the heap for each column read.  Where the folder is on a mounted disk, the plain
+#: local file system is used: the checked one starts two processes for each file that an executor writes.
+_WRITE = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor costs a reread, not a recomputation."""
 
@@ -29,7 +34,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back.  name may be used once for each Scratch."""
-        df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")  # the default codec holds memory outside the heap for each column read
+        df.write.options(**_WRITE).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def _delete(self, path: str) -> None:
