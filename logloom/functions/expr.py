@@ -160,7 +160,7 @@ class Compiler:
                 for k in keys:
                     if not x.type.startswith("list<"):
                         raise TypeFault("an index wants a list")
-                    x = Typed(x.col.getItem(self.typed(k).col), x.type[5:-1])
+                    x = Typed(x.col[self.typed(k).col], x.type[5:-1])
                 return x
             case S.Access(base, member, args):
                 return self._access(base, member, args)

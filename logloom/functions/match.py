@@ -100,13 +100,13 @@ def _fact(c: Column, e: P.Element, facts: Column) -> Column:
         if e.name not in (None, "_"):
             named = c["receiver"].isNotNull()
     ok = ok & typed & named & _params(c["args"], params, c, facts)
-    for step, (more, more_params) in enumerate(e.path[1:], 1):  # a chain stands in facts that follow each other
+    for step, (more, more_params) in enumerate(e.path[1:], 1):  # later members of a chain have no named receiver
         ok = ok & F.exists(facts, _link(c, step, more, more_params, facts))
     return _no(ok)
 
 
 def _link(c: Column, step: int, member: str, params: tuple | None, facts: Column):
-    return lambda d: (d["pos"] == c["pos"] + step) & (d["member"] == member) & _params(d["args"], params, d, facts)
+    return lambda d: (d["pos"] >= c["pos"] + step) & d["receiver"].isNull() & (d["member"] == member) & _params(d["args"], params, d, facts)
 
 
 def _fits(e: P.Element, last: Column | None, facts: Column):
@@ -114,8 +114,10 @@ def _fits(e: P.Element, last: Column | None, facts: Column):
     return lambda c: _fact(c, e, facts) if last is None else (c["pos"] > last) & _fact(c, e, facts)
 
 
-def _taken(fact: Column, p: P.Param, i: int) -> dict[str, Column]:
+def _taken(fact: Column, p: P.Param, i: int, facts: Column) -> dict[str, Column]:
     arg = F.get(fact["args"], F.lit(i))
+    if p.kind == "nested":
+        return _element_captures(F.get(F.filter(facts, _fits(p.value, fact["pos"], facts)), F.lit(0)), p.value, facts)
     if p.kind == "capture":
         return {p.value.lower(): F.coalesce(arg["value"], arg["var_name"])}
     if p.kind == "name":
@@ -123,19 +125,19 @@ def _taken(fact: Column, p: P.Param, i: int) -> dict[str, Column]:
     return {}
 
 
-def _element_captures(fact: Column, e: P.Element) -> dict[str, Column]:
+def _element_captures(fact: Column, e: P.Element, facts: Column) -> dict[str, Column]:
     out: dict[str, Column] = {}
     if e.kind == "member":
         params = e.path[0][1]
         if e.name not in (None, "_") and params is not None:
             out[e.name.lower()] = fact["receiver"]
         for i, p in enumerate(params or ()):
-            out |= _taken(fact, p, i)
+            out |= _taken(fact, p, i, facts)
     elif e.kind == "assign" and e.name:
         out[e.name.removeprefix("$").lower()] = F.coalesce(F.get(fact["args"], F.lit(0))["value"], fact["receiver"]) if e.name.startswith("$") else fact["receiver"]
     elif e.kind in ("tell", "ack"):
         for i, p in enumerate((*(e.params or ()), *([e.ident] if e.ident else [])) if e.kind == "tell" else (e.ident,)):
-            out |= _taken(fact, p, i)
+            out |= _taken(fact, p, i, facts)
     return out
 
 
@@ -165,7 +167,7 @@ def match(df: DataFrame, pattern: P.Pattern | str, facts: str = "calls", expose:
             ok = ok & F.col(name).isNotNull()
             if e.kind not in ("assign", "ctor"):
                 last = F.col(name)["pos"]
-            caught |= _element_captures(F.col(name), e)
+            caught |= _element_captures(F.col(name), e, F.col(facts))
         row = [ok.alias("ok"), *((caught[n] if n in caught else F.lit(None)).cast("string").alias(n) for n in wanted), F.lit(b.label).cast("string").alias("_matchedbranch")]
         work = work.withColumn(f"__b{k}", F.struct(*row))
         branches.append(F.when(F.col(f"__b{k}.ok"), F.col(f"__b{k}")))

@@ -283,7 +283,7 @@ def fnv1a64(text: Column) -> Column:
         return F.struct(product.bitwiseAND(low).alias("lo"), high.alias("hi"))
 
     hexed = F.hex(F.encode(text, "UTF-8"))
-    bytes_ = F.transform(F.sequence(F.lit(1), F.length(hexed) / 2), lambda i: F.conv(F.substring(hexed, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    bytes_ = F.transform(F.sequence(F.lit(1), (F.length(hexed) / 2).cast("int")), lambda i: F.conv(F.substring(hexed, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
     bytes_ = F.when(F.length(hexed) > 0, bytes_).otherwise(F.expr("cast(array() as array<bigint>)"))
     start = F.struct(F.lit(0x84222325).cast("long").alias("lo"), F.lit(0xCBF29CE4).cast("long").alias("hi"))
     done = lambda s: F.lower(F.concat(F.lpad(F.hex(s["hi"]), 8, "0"), F.lpad(F.hex(s["lo"]), 8, "0")))
