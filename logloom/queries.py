@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import replace
 from datetime import timedelta
 
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 
 from logloom.functions.expr import Typed, over, text
 from logloom.functions.match import match
+from logloom.functions.render import find_alias, to_json, to_list, to_xml
 from logloom.operators import journal as J
 from logloom.plans.batch import accept_increasing, bindings_digest, detect
 from logloom.plans.reaction import Reaction, reaction
 from logloom.sources import journals as S
+from logloom.sources.segments import decode_segments, encode_segments
+from logloom.streaming.operators import detect_stream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -592,3 +597,81 @@ def running_windows(spark, sf):
     e, w = S.entries(spark, sf), Window.partitionBy("user_id").orderBy("entry_id")
     return e.select("entry_id", F.max("k").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("high"), F.count("*").over(w.rangeBetween(-100, 0)).alias("near"))
 
+
+
+# Documents, programs and sources
+@query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","lines":[' || string_agg('{"n":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']}' AS doc
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY o_orderkey, o_orderstatus""")
+def document_json(spark, sf):
+    o, li = S.table(spark, sf, "orders").where("o_orderstatus = 'O'"), S.table(spark, sf, "lineitem")
+    lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    item = lambda x: [("n", Typed(x["l_linenumber"], "int")), ("part", Typed(x["l_partkey"], "long"))]
+    doc = to_json(("key", Typed(F.col("o_orderkey"), "long")), ("status", Typed(F.col("o_orderstatus"), "string")), ("lines", F.col("lines"), item))
+    return o.join(lines, o.o_orderkey == lines.l_orderkey).select("o_orderkey", doc.alias("doc"))
+
+
+@query("""SELECT n_nationkey, 'key: ' || n_nationkey || chr(10) || 'name: "' || n_name || '"' AS listed, '<root>' || chr(10) || '  <key>' || n_nationkey || '</key>' || chr(10) || '  <name>' || n_name || '</name>' || chr(10) || '</root>' || chr(10) AS xml FROM nation""")
+def document_list_xml(spark, sf):
+    parts = [("key", Typed(F.col("n_nationkey"), "int")), ("name", Typed(F.col("n_name"), "string"))]
+    return S.table(spark, sf, "nation").select("n_nationkey", to_list(*parts).alias("listed"), to_xml(*parts).alias("xml"))
+
+
+@query(f"{WITH} SELECT entry_id, CAST(k AS VARCHAR) AS found FROM e WHERE k < 50")
+def json_alias(spark, sf):
+    rows = S.entries(spark, sf).where("k < 50")
+    nested = F.concat(F.lit('{"outer":[{"x":1},'), F.col("expose"), F.lit("]}"))
+    return rows.select("entry_id", F.array_join(find_alias(nested, "k"), ";").alias("found"))
+
+
+@query(f"{WITH} SELECT entry_id, 'SCRIPT' AS kind, 'user_' || user_id || '.' || member || '(' || k || ', ''' || member || ''');' AS script, occurred_at FROM e WHERE k = 5")
+def segment_round_trip(spark, sf):
+    rows = S.scripts(spark, sf).where("k = 5").select("entry_id", "occurred_at", F.lit("SCRIPT").alias("kind"), "script", F.lit(None).cast("int").alias("action_id"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("define_text"), "expose")
+    return decode_segments(encode_segments(rows, compress=True)).select("entry_id", "kind", "script", "occurred_at")
+
+
+@query(f"{WITH} SELECT member, count(*) AS n, count(DISTINCT user_id) AS users, min(entry_id) AS first, max(entry_id) AS last FROM e GROUP BY member")
+def show_members(spark, sf):
+    return S.entries(spark, sf).groupBy("member").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.min("entry_id").alias("first"), F.max("entry_id").alias("last"))
+
+
+@query(f"{WITH} SELECT user_id, round(100.0 * count(CASE WHEN member = 'purchase' THEN 1 END) / nullif(count(CASE WHEN member = 'view' THEN 1 END), 0), 6) AS ratio FROM e GROUP BY user_id")
+def hit_ratio(spark, sf):
+    is_ = lambda m: F.count(F.when(F.col("member") == m, 1))
+    return S.entries(spark, sf).groupBy("user_id").agg(F.round(F.lit(100.0) * is_("purchase") / F.nullif(is_("view"), F.lit(0)), 6).alias("ratio"))
+
+
+@query("SELECT c_custkey, c_nationkey, coalesce(r, -1) AS r FROM customer LEFT JOIN (SELECT n_nationkey, n_regionkey AS r FROM nation WHERE n_regionkey <> 2) ON n_nationkey = c_nationkey")
+def registry_lookup(spark, sf):
+    n = S.table(spark, sf, "nation").where("n_regionkey <> 2").select("n_nationkey", F.col("n_regionkey").alias("r"))
+    c = S.table(spark, sf, "customer")
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", "c_nationkey", F.coalesce("r", F.lit(-1)).alias("r"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; a new local one only where none is set."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
+
+
+# Streams: each runs to the end of what is there, from an empty checkpoint
+def _streamed(spark: SparkSession, sf: str, build) -> DataFrame:
+    """What a streaming query over the user journal writes."""
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    S.user_journal(spark, sf).write.parquet(f"{root}/in")
+    schema = spark.read.parquet(f"{root}/in").schema
+    out = build(spark.readStream.schema(schema).parquet(f"{root}/in"))
+    q = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query(f"""{WITH} SELECT a.user_id::VARCHAR AS actor, a.entry_id || ',' || b.entry_id AS levels, b.entry_id AS trigger_entry_id FROM u a JOIN u b ON a.user_id = b.user_id AND a.member = 'view' AND b.member = 'purchase'
+AND b.entry_id > a.entry_id AND b.entry_id <= a.entry_id + 3 AND b.k > a.k""")
+def stream_chain(spark, sf):
+    r = reaction("stream").seek("[User].view(_, _, $k1:int)").then_final_seek("[User].purchase(_, _, $k2:int)").where("k2 > k1").within(3)
+    return _streamed(spark, sf, lambda s: detect_stream(r, s)).select("actor", "levels", "trigger_entry_id")
+
+
+@query(f"{WITH} SELECT user_id::VARCHAR AS actor, min(entry_id) AS entry_id FROM u WHERE member = 'click' GROUP BY user_id")
+def stream_first(spark, sf):
+    r = reaction("first").seek("[User].click(_, _, _)").many()
+    return _streamed(spark, sf, lambda s: detect_stream(replace(r, stale_after=None), s)).select("actor", F.col("trigger_entry_id").alias("entry_id"))

@@ -161,3 +161,32 @@ def test_store(spark, tmp_path):
     assert store.shadow(str(tmp_path / "shadow"), 5).scan().count() == 4
     store.append_define_and_call(entries(spark, [13]), entries(spark, [14]))
     assert store.last_id() == 14
+
+
+def test_segments(spark, tmp_path):
+    from logloom.sources import segments as G
+
+    rows = entries(spark, range(1, 200)).withColumn("expose", F.when(F.col("entry_id") % 3 == 0, '{"k": 1}'))
+    define = spark.createDataFrame([(200, datetime(2024, 2, 1, 1, 2, 3, 456), "DEFINE", None, 7, None, "define action 7 () as end;", None, "u"), (201, datetime(2024, 2, 1), "INVOCATION", None, 7, "1,2", None, None, "u")], JOURNAL)
+    both = rows.unionByName(define)
+    for compress in (False, True):
+        at = str(tmp_path / f"seg{compress}")
+        assert G.write_segments(both, at, segment_bytes=2000, compress=compress) > 3
+        back = G.read_segments(spark, at)
+        assert sorted(back.collect()) == sorted(both.select(*back.columns).collect())
+    record = G.encode({"kind": "SCRIPT", "entry_id": 1, "occurred_at": datetime(2024, 1, 1), "script": "a.b();"})
+    assert len(list(G.decode(record + record[:-3]))) == 1 and list(G.decode(b"")) == []
+    with pytest.raises(G.Damaged):
+        list(G.decode(record[:-1] + b"x"))
+
+
+def test_documents(spark):
+    from logloom.functions.render import find_alias, to_json, to_list, to_xml
+
+    df = spark.createDataFrame([(1, 'a"<b', 2.0, None, [1, 2], datetime(2024, 1, 2))], "i int, s string, d double, n int, xs array<int>, t timestamp_ntz")
+    parts = [("i", Typed(F.col("i"), "int")), ("s", Typed(F.col("s"), "string")), ("d", Typed(F.col("d"), "double")), ("n", Typed(F.col("n"), "int")), ("xs", F.col("xs"), lambda x: [("x", Typed(x, "int"))]), ("t", Typed(F.col("t"), "datetime"))]
+    j, listed, x = df.select(to_json(*parts), to_list(*parts), to_xml(*parts)).first()
+    assert j == '{"i":1,"s":"a\\"<b","d":2.0,"n":null,"xs":[{"x":1},{"x":2}],"t":"01/02/2024"}'
+    assert listed == 'i: 1\ns: "a\\"<b"\nd: 2\nn: null\nxs:\n  - x: 1\n  - x: 2\nt: 01/02/2024'
+    assert "<s>a\"&lt;b</s>" in x and "<n/>" in x and "<item>" in x and x.startswith("<root>\n")
+    assert df.select(find_alias(F.lit('{"a":1,"b":{"a":"x","c":[{"a":null}]}}'), "a")).first()[0] == ["1", '"x"', "null"]
