@@ -298,3 +298,36 @@ def check_rows(df: DataFrame, checks: list[tuple[Column, str, str]], key: list[s
         bad = df.where(~F.coalesce(ok, F.lit(False))).select(*key, F.lit(severity).alias("severity"), F.lit(message).alias("message"))
         out = bad if out is None else out.unionByName(bad)
     return out
+
+
+# Registry, order and sagas
+def active(reactions: DataFrame, now: Column, role: str) -> DataFrame:
+    """Reactions that may run: active, not expired, and for this role (director, cast) or for the whole company."""
+    alive = F.coalesce(F.col("active"), F.lit(True)) & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    return reactions.where(alive & F.col("activation").isin("company", role))
+
+
+def unconfirmed(checkpoints: DataFrame) -> DataFrame:
+    """Checkpoints that an action has detected but not confirmed: reported, never retried."""
+    return checkpoints.where(F.col("detected") > F.col("confirmed")).withColumn("gap", F.col("detected") - F.col("confirmed"))
+
+
+def gaps(journal: DataFrame, by: str = "actor") -> DataFrame:
+    """Places where ids are missing or times run back: entry_id, missing, backwards."""
+    w = Window.partitionBy(by).orderBy("entry_id")
+    missing = F.col("entry_id") - F.lag("entry_id").over(w) - 1
+    back = F.col("occurred_at") < F.lag("occurred_at").over(w)
+    marked = journal.select(by, "entry_id", F.coalesce(missing, F.lit(0)).alias("missing"), F.coalesce(back, F.lit(False)).alias("backwards"))
+    return marked.where((F.col("missing") > 0) | F.col("backwards"))
+
+
+def steps_once(steps: DataFrame, key: list[str]) -> DataFrame:
+    """The first entry of each (saga, key, step): a step runs once."""
+    return steps.groupBy(*key).agg(F.min("entry_id").alias("entry_id"))
+
+
+def closed_trajectories(verbs: DataFrame, by: str = "actor") -> DataFrame:
+    """Entries that a legal close elides: all legal verbs of its saga."""
+    checked = saga_check(verbs, by)
+    closed = checked.where("legal AND verb = 'close'").select(by)
+    return checked.where("legal").join(closed, by, "left_semi").select(by, "entry_id")

@@ -18,7 +18,7 @@ from logloom.plans.batch import accept_increasing, bindings_digest, detect
 from logloom.plans.reaction import Reaction, reaction
 from logloom.sources import journals as S
 from logloom.sources.segments import decode_segments, encode_segments
-from logloom.streaming.operators import detect_stream
+from logloom.streaming.operators import counts, detect_stream, sessions
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -675,3 +675,53 @@ def stream_chain(spark, sf):
 def stream_first(spark, sf):
     r = reaction("first").seek("[User].click(_, _, _)").many()
     return _streamed(spark, sf, lambda s: detect_stream(replace(r, stale_after=None), s)).select("actor", F.col("trigger_entry_id").alias("entry_id"))
+
+
+# Registry, order, sagas and event-time windows
+@query("SELECT o_orderkey AS reaction_id FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate > TIMESTAMP '1997-01-01' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def active_reactions(spark, sf):
+    o = S.table(spark, sf, "orders")
+    activation = F.when(F.col("o_orderpriority") == "1-URGENT", "company").when(F.col("o_orderpriority") == "2-HIGH", "director").otherwise("cast")
+    rows = o.select(F.col("o_orderkey").alias("reaction_id"), (F.col("o_orderstatus") != "F").alias("active"), F.col("o_orderdate").alias("expires_at"), activation.alias("activation"))
+    return J.active(rows, F.lit("1997-01-01").cast("timestamp_ntz"), "director").select("reaction_id")
+
+
+@query("SELECT l_orderkey AS reaction_id, l_linenumber AS seek_level, l_partkey - l_suppkey AS gap FROM lineitem WHERE l_partkey > l_suppkey")
+def checkpoint_gap(spark, sf):
+    rows = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("reaction_id"), F.col("l_linenumber").alias("seek_level"), F.col("l_partkey").alias("detected"), F.col("l_suppkey").alias("confirmed"))
+    return J.unconfirmed(rows).select("reaction_id", "seek_level", "gap")
+
+
+@query(f"{WITH}, x AS (SELECT user_id, entry_id, entry_id - lag(entry_id) OVER (PARTITION BY user_id ORDER BY entry_id) - 1 AS missing FROM u WHERE member <> 'error') SELECT user_id::VARCHAR AS actor, entry_id, missing FROM x WHERE missing > 0")
+def order_gaps(spark, sf):
+    return J.gaps(S.user_entries(spark, sf).where("member <> 'error'")).select("actor", "entry_id", "missing")
+
+
+@query(f"{WITH} SELECT user_id, member, k, min(entry_id) AS entry_id FROM e GROUP BY ALL")
+def saga_steps_once(spark, sf):
+    return J.steps_once(S.entries(spark, sf), ["user_id", "member", "k"])
+
+
+@query(f"""{WITH}, s AS (SELECT user_id, min(entry_id) AS s FROM e WHERE member = 'signup' GROUP BY 1), c AS (SELECT e.user_id, any_value(s) AS s, min(entry_id) AS c FROM e JOIN s USING (user_id) WHERE member = 'purchase' AND entry_id > s GROUP BY 1)
+SELECT e.user_id::VARCHAR AS actor, entry_id FROM e JOIN c USING (user_id) WHERE entry_id BETWEEN s AND c AND (member <> 'signup' OR entry_id = s)""")
+def saga_elision(spark, sf):
+    verb = F.when(F.col("member") == "signup", "start").when(F.col("member") == "error", "compensate").when(F.col("member") == "purchase", "close").otherwise("step")
+    rows = S.entries(spark, sf).select(F.col("user_id").cast("string").alias("actor"), "entry_id", verb.alias("verb"))
+    return J.closed_trajectories(rows)
+
+
+@query(f"{WITH} SELECT time_bucket(INTERVAL 6 HOUR, occurred_at) AS start, member, count(*) AS n FROM e GROUP BY ALL")
+def tumbling_counts(spark, sf):
+    return counts(S.entries(spark, sf), "6 hours").select(F.col("window.start").alias("start"), "member", "n")
+
+
+@query(f"""{WITH}, g AS (SELECT user_id, occurred_at, CASE WHEN occurred_at - lag(occurred_at) OVER (PARTITION BY user_id ORDER BY entry_id) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS cut FROM e),
+s AS (SELECT user_id, occurred_at, sum(cut) OVER (PARTITION BY user_id ORDER BY occurred_at) AS lap FROM g) SELECT user_id::VARCHAR AS actor, min(occurred_at) AS start, count(*) AS n FROM s GROUP BY user_id, lap""")
+def session_counts(spark, sf):
+    return sessions(S.user_entries(spark, sf), "4 hours").select("actor", F.col("session_window.start").alias("start"), "n")
+
+
+@query()
+def tell_hash(spark, sf):
+    """FNV-1a of each tell; no SQL, as DuckDB has no such hash: tests hold it against plain Python."""
+    return S.entries(spark, sf).select("entry_id", J.fnv1a64(F.concat_ws("|", "user_id", "member", "k")).alias("hash"))
