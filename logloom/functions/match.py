@@ -141,10 +141,26 @@ def _element_captures(fact: Column, e: P.Element, facts: Column) -> dict[str, Co
     return out
 
 
-def match(df: DataFrame, pattern: P.Pattern | str, facts: str = "calls", expose: str = "expose", script: str = "script") -> DataFrame:
+def _only_members(pattern: P.Pattern) -> list[str] | None:
+    """Members that an entry's only fact must have one of, if every branch asks for method calls."""
+    out: set[str] = set()
+    for b in pattern.branches:
+        calls = {e.path[0][0] for e in b.elements if e.kind == "member" and e.path[0][1] is not None}
+        if not calls:
+            return None
+        out |= calls
+    return sorted(out)
+
+
+def match(df: DataFrame, pattern: P.Pattern | str, facts: str = "calls", expose: str = "expose", script: str = "script", only: str = "member") -> DataFrame:
     """Rows of df that match, with a column for each captured name ($v:T has type T, others are strings) and, where the
-    pattern has labels, _matchedbranch."""
+    pattern has labels, _matchedbranch.
+
+    only: a column that, where df has it, names the member of an entry's single fact; entries that cannot match are
+    then filtered by it, which a file scan takes as a pushed filter."""
     pattern = P.parse_pattern(pattern) if isinstance(pattern, str) else pattern
+    if only in df.columns and (members := _only_members(pattern)):
+        df = df.where(F.col(only).isin(members))
     wanted = P.captures(pattern)
     own, work, branches = df.columns, df, []
     labelled = any(b.label for b in pattern.branches)
