@@ -134,9 +134,9 @@ def check_violations(spark, sf):
     return J.check_rows(df, [(c.column("o_totalprice >= 2000"), "error", "price"), (c.column("o_orderstatus == 'F' || o_totalprice > 100000"), "warning", "status")], ["o_orderkey"])
 
 
-@query("SELECT o_orderkey, i, l_linenumber, l_partkey FROM (SELECT o_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')")
+@query("SELECT o_orderkey, i, l_linenumber, l_partkey FROM (SELECT o_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS i FROM orders JOIN lineitem ON l_orderkey = o_orderkey)")
 def for_nested_doc(spark, sf):
-    o, li = S.table(spark, sf, "orders").where("o_orderstatus = 'F'"), S.table(spark, sf, "lineitem")
+    o, li = S.table(spark, sf, "orders"), S.table(spark, sf, "lineitem")
     lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
     return o.join(lines, o.o_orderkey == lines.l_orderkey).select("o_orderkey", F.posexplode("lines").alias("i", "x")).select("o_orderkey", "i", "x.l_linenumber", "x.l_partkey")
 
@@ -398,10 +398,10 @@ def distill_guard(spark, sf):
     return out
 
 
-@query(f"{WITH} SELECT DISTINCT x AS entry_id, 'lake' AS destination FROM (SELECT l0 AS x FROM {NEAR} UNION SELECT l1 FROM {NEAR}) WHERE x % 10 <> 0")
+@query(f"{WITH} SELECT DISTINCT x AS entry_id, 'lake' AS destination FROM (SELECT l0 AS x FROM {NEAR} UNION SELECT l1 FROM {NEAR}) WHERE x NOT IN (SELECT entry_id FROM e WHERE value > 90)")
 def materialize_markers(spark, sf):
     m = detect(view_buy(400), S.journal(spark, sf))
-    known = S.entries(spark, sf).where("entry_id % 10 = 0").select("entry_id", F.lit("lake").alias("destination"))
+    known = S.entries(spark, sf).where("value > 90").select("entry_id", F.lit("lake").alias("destination"))
     return J.mark(m, "r", "lake", known).select("entry_id", "destination")
 
 
@@ -417,10 +417,10 @@ def outbox_record(spark, sf):
     return J.outbox(m, "r", "mail", F.concat(F.lit("user "), F.col("u1"))).select("anchor_entry_id", "idempotency_key", "payload", "trigger_entry_id")
 
 
-@query(f"{WITH} SELECT DISTINCT 'r:' || l0 || ':1' AS idempotency_key FROM {NEAR} WHERE l0 % 2 = 1")
+@query(f"{WITH} SELECT DISTINCT 'r:' || l0 || ':1' AS idempotency_key FROM {NEAR} WHERE k1 <= 50")
 def outbox_pending(spark, sf):
-    box = J.outbox(detect(view_buy(400), S.journal(spark, sf)), "r", "mail", F.lit("x"))
-    return J.pending(box, box.where("anchor_entry_id % 2 = 0")).select("idempotency_key")
+    box = J.outbox(detect(view_buy(400), S.journal(spark, sf)), "r", "mail", F.col("k1").cast("string"))
+    return J.pending(box, box.where("int(payload) > 50")).select("idempotency_key")
 
 
 @query(f"{WITH}, o AS (SELECT entry_id FROM e WHERE member = 'view' AND k > 5 EXCEPT SELECT l0 FROM {NEAR}) SELECT (SELECT max(entry_id) FROM e) AS high_water, least((SELECT max(entry_id) FROM e), coalesce((SELECT min(entry_id) - 1 FROM o), (SELECT max(entry_id) FROM e))) AS closed_frontier")
@@ -579,10 +579,10 @@ def last_n_ring(spark, sf):
     return c.withColumn("r", ring).where("r <= 32").drop("r")
 
 
-@query("""SELECT destination, max(x) AS entry_id FROM (SELECT c_mktsegment AS destination, c_custkey AS x FROM customer UNION ALL SELECT c_mktsegment, c_custkey + 1 FROM customer WHERE c_custkey % 3 = 0) GROUP BY destination""")
+@query("""SELECT destination, max(x) AS entry_id FROM (SELECT c_mktsegment AS destination, c_custkey AS x FROM customer UNION ALL SELECT c_mktsegment, c_custkey + 1 FROM customer WHERE c_acctbal < 0) GROUP BY destination""")
 def keyed_merge(spark, sf):
     c = S.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("destination")).agg(F.max("c_custkey").alias("entry_id"))
-    new = S.table(spark, sf, "customer").where("c_custkey % 3 = 0").groupBy(F.col("c_mktsegment").alias("destination")).agg((F.max("c_custkey") + 1).alias("entry_id"))
+    new = S.table(spark, sf, "customer").where("c_acctbal < 0").groupBy(F.col("c_mktsegment").alias("destination")).agg((F.max("c_custkey") + 1).alias("entry_id"))
     return c.unionByName(new).groupBy("destination").agg(F.max("entry_id").alias("entry_id"))
 
 
@@ -601,9 +601,9 @@ def running_windows(spark, sf):
 
 # Documents, programs and sources
 @query("""SELECT o_orderkey, '{"key":' || o_orderkey || ',"status":"' || o_orderstatus || '","lines":[' || string_agg('{"n":' || l_linenumber || ',"part":' || l_partkey || '}', ',' ORDER BY l_linenumber, l_partkey) || ']}' AS doc
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' GROUP BY o_orderkey, o_orderstatus""")
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus""")
 def document_json(spark, sf):
-    o, li = S.table(spark, sf, "orders").where("o_orderstatus = 'O'"), S.table(spark, sf, "lineitem")
+    o, li = S.table(spark, sf, "orders"), S.table(spark, sf, "lineitem")
     lines = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
     item = lambda x: [("n", Typed(x["l_linenumber"], "int")), ("part", Typed(x["l_partkey"], "long"))]
     doc = to_json(("key", Typed(F.col("o_orderkey"), "long")), ("status", Typed(F.col("o_orderstatus"), "string")), ("lines", F.col("lines"), item))
@@ -616,16 +616,16 @@ def document_list_xml(spark, sf):
     return S.table(spark, sf, "nation").select("n_nationkey", to_list(*parts).alias("listed"), to_xml(*parts).alias("xml"))
 
 
-@query(f"{WITH} SELECT entry_id, CAST(k AS VARCHAR) AS found FROM e WHERE k < 50")
+@query(f"{WITH} SELECT entry_id, CAST(k AS VARCHAR) AS found FROM e")
 def json_alias(spark, sf):
-    rows = S.entries(spark, sf).where("k < 50")
+    rows = S.entries(spark, sf)
     nested = F.concat(F.lit('{"outer":[{"x":1},'), F.col("expose"), F.lit("]}"))
     return rows.select("entry_id", F.array_join(find_alias(nested, "k"), ";").alias("found"))
 
 
-@query(f"{WITH} SELECT entry_id, 'SCRIPT' AS kind, 'user_' || user_id || '.' || member || '(' || k || ', ''' || member || ''');' AS script, occurred_at FROM e WHERE k = 5")
+@query(f"{WITH} SELECT entry_id, 'SCRIPT' AS kind, 'user_' || user_id || '.' || member || '(' || k || ', ''' || member || ''');' AS script, occurred_at FROM e")
 def segment_round_trip(spark, sf):
-    rows = S.scripts(spark, sf).where("k = 5").select("entry_id", "occurred_at", F.lit("SCRIPT").alias("kind"), "script", F.lit(None).cast("int").alias("action_id"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("define_text"), "expose")
+    rows = S.scripts(spark, sf).select("entry_id", "occurred_at", F.lit("SCRIPT").alias("kind"), "script", F.lit(None).cast("int").alias("action_id"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("string").alias("define_text"), "expose")
     return decode_segments(encode_segments(rows, compress=True)).select("entry_id", "kind", "script", "occurred_at")
 
 
