@@ -256,7 +256,7 @@ def _exact(nodes: DataFrame, ev: DataFrame, seek: Seek, journal: DataFrame) -> D
 
 
 def obligations(nodes: DataFrame, spec: Reaction) -> DataFrame:
-    """actor, levels and a struct key for each distinct tuple of the product.  Zipped arrays must have equal lengths."""
+    """actor, anchor and a struct key for each distinct tuple of the product.  Zipped arrays must have equal lengths."""
     out = nodes
     for i, (names, arrays) in enumerate(spec.for_each.factors):
         if len(arrays) > 1:
@@ -264,16 +264,21 @@ def obligations(nodes: DataFrame, spec: Reaction) -> DataFrame:
             out = out.where(F.when(same, F.lit(True)).otherwise(F.raise_error(F.lit("zipped arrays differ in length")).cast("boolean")))
         out = out.withColumn(f"__z{i}", F.explode(F.arrays_zip(*[F.col(f"c_{a}").alias(n) for n, a in zip(names, arrays, strict=True)])))
     key = F.struct(*[F.col(f"__z{i}")[n].cast("string").alias(n) for i, (names, _) in enumerate(spec.for_each.factors) for n in names])
-    return out.select("actor", "levels", key.alias("tuple")).distinct()
+    return out.select("actor", F.element_at("levels", 1).alias("anchor"), key.alias("tuple")).distinct()
 
 
 def _coverage(nodes: DataFrame, acc: DataFrame, spec: Reaction, seek: Seek, journal: DataFrame) -> DataFrame:
-    """Nodes whose every tuple is met by an accumulated event: division by the product of their arrays."""
+    """Anchors whose every tuple is met by an event of the closing leg: division by the product of their arrays.
+
+    The first event of a tuple counts, for the oldest node that takes it; the node that takes the last tuple fires, with
+    the events that it took."""
     names = [n for f, _ in spec.for_each.factors for n in f]
-    wanted = obligations(nodes, spec)
-    met = acc.groupBy("actor", "levels", F.struct(*[F.col(f"c_{n}").cast("string").alias(n) for n in names]).alias("tuple")).agg(F.min(F.struct("e_entry_id", "e_occurred_at")).alias("m"))
-    judged = wanted.join(met, ["actor", "levels", "tuple"], "left").groupBy("actor", "levels").agg(F.count("*").alias("all"), F.count("m").alias("done"), F.max("m").alias("last"), F.array_sort(F.collect_set("m.e_entry_id")).alias("ids"))
-    done = judged.where(F.col("all") == F.col("done")).select("actor", "levels", "ids", F.col("last.e_entry_id").alias("fired_id"), F.col("last.e_occurred_at").alias("fired_at"))
+    key = F.struct(*[F.col(f"c_{n}").cast("string").alias(n) for n in names])
+    met = acc.groupBy("actor", F.element_at("levels", 1).alias("anchor"), key.alias("tuple")).agg(F.min(F.struct("e_entry_id", "e_occurred_at", "levels")).alias("m"))
+    judged = obligations(nodes, spec).join(met, ["actor", "anchor", "tuple"], "left").groupBy("actor", "anchor")
+    judged = judged.agg(F.count("*").alias("all"), F.count("m").alias("done"), F.max("m").alias("last"), F.collect_list("m").alias("took"))
+    mine = F.array_sort(F.array_distinct(F.transform(F.filter("took", lambda m: m["levels"] == F.col("last.levels")), lambda m: m["e_entry_id"])))
+    done = judged.where(F.col("all") == F.col("done")).select("actor", F.col("last.levels").alias("levels"), mine.alias("ids"), F.col("last.e_entry_id").alias("fired_id"), F.col("last.e_occurred_at").alias("fired_at"))
     done = nodes.join(done, _KEY)
     if seek.aged:
         done = first_after(done, journal, F.col("fired_at") + F.lit(seek.aged), by="occurred_at", equal=True).withColumn("fired_id", F.col("closing_id")).withColumn("fired_at", F.col("closing_at"))

@@ -106,8 +106,21 @@ def test_coverage(spark, text, aged):
     assert got and sorted((r["actor"], *short(r)) for r in got) == sorted((x, *short(m)) for x, m in want)
 
 
+def test_coverage_behind_a_leg(spark):
+    rows = [(f"{seed}{r[0]}", *r[1:]) for seed in range(12) for r in random_rows(seed, 80)]
+    df = spark.createDataFrame(rows, "actor string, entry_id long, occurred_at timestamp_ntz, member string, k int, receiver string")
+    anchors = df.where("member = 'c' AND k < 2").select("actor", "entry_id", "occurred_at", F.array(F.lit(0), F.lit(1), F.lit(2)).alias("ks"))
+    between = df.where("member = 'b'").select("actor", "entry_id", "occurred_at", F.col("k").alias("y"))
+    legs = df.where("member = 'a'").select("actor", "entry_id", "occurred_at", "k")
+    spec = reaction("r").seek(source=anchors).then_seek(source=between).within(9).then_final_seek(source=legs).many().within(20).cover("(k) in $ks")
+    finders = [lambda e: {"ks": [0, 1, 2]} if e["row"][3] == "c" and e["row"][4] < 2 else None, lambda e: {"y": e["row"][4]} if e["row"][3] == "b" else None, lambda e: {"k": e["row"][4]} if e["row"][3] == "a" else None]
+    short = lambda m: (tuple(m["levels"]), tuple(m["chain"]), m["trigger_entry_id"])
+    got = detect(spec, journal(spark, rows)).collect()
+    assert got and sorted((r["actor"], *short(r)) for r in got) == sorted((x, *short(m)) for x, m in expected(spec, rows, finders))
+
+
 def test_edges(spark):
-    assert detect(SPECS["pair"], journal(spark, []).limit(0) if False else journal(spark, [("u", 1, T0, "a", 0, "r")])).count() == 0
+    assert detect(SPECS["pair"], journal(spark, [("u", 1, T0, "a", 0, "r")])).count() == 0
     exact = a().then_final_seek("[User].b(_)").none().within(2)
     base = [("u", 1, T0, "a", 0, "r"), ("u", 3, T0, "c", 0, "r")]
     assert detect(exact, journal(spark, base)).count() == 0  # ends within the window
