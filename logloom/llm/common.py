@@ -66,3 +66,13 @@ def free_name(df: DataFrame, want: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Bytes of a table that may be sent to every task.
+BROADCAST_BYTES = 32 << 20
+
+
+def sent_or_dealt(table: DataFrame, size: Column) -> DataFrame:
+    """table, marked to be sent to every task if the sum of size (bytes of a row) says that it is small; a larger one is
+    left to a join that deals both sides."""
+    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table

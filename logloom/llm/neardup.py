@@ -3,17 +3,18 @@
 1. Each document's set of 5-word shingles is hashed once; the hash's high bits choose one of BANDS * ROWS bins and the least
    hash in a bin is its value.  An empty bin copies the bin that its own probe sequence finds first (optimal densification).
 2. Documents with equal sets are one class.  Classes that share a band meet in a bucket; a bucket gives edges between its
-   first STARS members and the others only, so pairs grow with rows, not with their square.
-3. Candidates are confirmed on full sets, in rounds: first the best centre of each class, then what still joins different
-   components.  Where a bucket has more than STARS + 1 members of different components, later rounds choose other centres, until a
-   round finds no link.
-4. Components by alternating large-star and small-star steps on tables in the shared folder.
+   centres (all members if it has at most STARS + 1, else HUBS) and the members only, so pairs grow with rows.
+3. Pairs whose signatures agree too little to be links go; the others are confirmed on full sets: first the best centre of
+   each class, then what still joins different components.  Buckets of more than STARS + 1 members that still hold
+   different components are split by further bands until all pairs of a part are candidates: TURNS times, or until no link is
+   found, with other members standing for each component.
+4. Components by union-find in one task for few edges, else by large-star and small-star steps on tables in the shared folder.
 
 At a similarity of 0.75 exactly a pair shares no band with a probability of 2e-5; at 0.8, 1e-7.
 
 Defined results: a document without words (or text) has an empty set and links with nothing; with fewer than five words its
 whole sequence is the one shingle; rows without an id link with nothing, have no component and are kept; repeated rows have
-equal sets, so one component; an empty table gives no rows; extra columns pass through unless they bear an output's name.
+equal sets, so one component; an empty table gives no rows; extra columns are ignored.
 """
 
 import numpy as np
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER_BYTES, Scratch
+from logloom.llm.common import LOWER_BYTES, Scratch, sent_or_dealt
 
-SHINGLE, BANDS, ROWS, STARS = 5, 40, 5, 8
+SHINGLE, BANDS, ROWS, STARS, HUBS, SPLITS, DEPTH, TURNS = 5, 40, 5, 8, 4, 4, 4, 3
 THRESHOLD = 75  # per cent
+#: Edges whose components one task may join.
+ONE_TASK = 200_000
 #: Bytes of text hashed at once, and words of one very long document.
 CHUNK_BYTES, CHUNK_WORDS = 1 << 20, 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -158,47 +161,105 @@ def _sliced(batches, column: int = 1, most: int = 16 << 20):
 
 
 def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), cid (16 bytes, equal for equal sets), bands."""
+    """id, n (set size), cid (16 bytes, equal for equal sets), bands, sig (the low byte of each bin)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in _sliced(batches):
             h, n = shingle_sets([t and t.encode() for t in b.column(1).to_pylist()])
-            keys = band_keys(signatures(h, n)) if len(h) else np.zeros((0, BANDS), np.int64)
-            sizes = np.where(n > 0, BANDS, 0)
-            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(set_keys(h, n), pa.binary()), bands], ["id", "n", "cid", "bands"])
+            sigs = signatures(h, n) if len(h) else np.zeros((0, BANDS * ROWS), np.uint64)
+            edges = pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32())
+            bands = pa.ListArray.from_arrays(edges, pa.array(band_keys(sigs).ravel(), pa.int64()))
+            low, at = (sigs & np.uint64(255)).astype(np.uint8), np.cumsum(n > 0) - 1
+            sig = pa.array([low[k].tobytes() if m else None for k, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(set_keys(h, n), pa.binary()), bands, sig], ["id", "n", "cid", "bands", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, cid binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, cid binary, bands array<long>, sig binary")
 
 
 def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """cid, shingles for the wanted (cid, rep): sets anew from the texts of the representatives."""
+    """node, shingles for the wanted (node, cid, rep): sets anew from the texts of the representatives."""
 
     def run(batches):
-        for b in _sliced(batches, 0):
-            h, n = shingle_sets([t and t.encode() for t in b.column(0).to_pylist()])
+        for b in _sliced(batches, 2):
+            h, n = shingle_sets([t and t.encode() for t in b.column(2).to_pylist()])
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(set_keys(h, n), pa.binary()), sets], ["cid", "shingles"])
+            right = pa.array([x == y.as_py() for x, y in zip(set_keys(h, n), b.column(1), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "shingles"]).filter(right)
 
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted.select("rep"), "rep", "left_semi")
-    return texts.select("text").mapInArrow(run, "cid binary, shingles array<long>").dropDuplicates(["cid"])
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(sent_or_dealt(wanted.select("node", "cid", "rep"), F.lit(64)), "rep")
+    once = texts.select("node", "cid", "text").mapInArrow(run, "node long, shingles array<long>")
+    return once.groupBy("node").agg(F.first("shingles").alias("shingles"))  # repeated rows of one id
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs without those whose signatures agree far less than a link's would.
+
+    Only between larger sets: the agreement of BANDS * ROWS bins is then within eight standard deviations of the similarity."""
+    floor = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (3, 4))
+            small = np.minimum(b.column(5).to_numpy(), b.column(6).to_numpy()) < BANDS * ROWS
+            good = small | ((x == y).mean(axis=1) >= floor)
+            yield pa.RecordBatch.from_arrays(b.columns[:3], ["a", "b", "shared"]).filter(pa.array(good))
+
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", "sig_a", "sig_b", "n_a", "n_b")
+    return joined.mapInArrow(run, "a long, b long, shared long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def _joined_at_once(edges: DataFrame) -> DataFrame:
+    """components() of few edges, in one task: union-find."""
+
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                root[max(u, v)] = min(u, v)
+        found = [(x, r) for x in list(root) if (r := find(x)) != x]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "root"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).repartition(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, root (the least node reachable) for each node of edges (a, b) that is not a root itself."""
-    now = scratch.table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}_0")
-    mark = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    seen, turn = mark(now), 0
+    """node, root (the least node reachable) for each node of edges (a, b) that is not a root itself.
+
+    At most ONE_TASK edges are joined in one task; more by alternating large-star and small-star steps."""
+    from pyspark.sql import Observation
+
+    if edges.count() <= ONE_TASK:
+        return scratch.table(_joined_at_once(edges), f"{name}_0")
+
+    def write(df: DataFrame, turn: int) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        table = scratch.table(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), f"{name}_{turn}")
+        return table, (seen.get["n"], seen.get["s"])
+
+    now, seen = write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), 0)
+    turn = 0
     while True:
         turn += 1
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -206,36 +267,73 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_min.select("u", F.col("m").alias("v")))
-        after = scratch.table(small.where("u <> v").distinct(), f"{name}_{turn}")
+        after, found = write(small.where("u <> v").distinct(), turn)
         scratch.drop(f"{name}_{turn - 1}")
-        if (found := mark(after)) == seen:
+        if found == seen:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         now, seen = after, found
 
 
 def _stars(buckets: DataFrame, order: list) -> DataFrame:
-    """a, b, shared (in how many buckets): edges between the first STARS members of a bucket and those after them."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(*order, "cid"))
-    centres = buckets.withColumn("place", place).where(F.col("place") <= STARS).select("key", F.col("cid").alias("centre"), F.col("n").alias("cn"))
-    met = buckets.join(centres, "key").where((F.col("cid") != F.col("centre")) & (100 * F.least("n", "cn") >= THRESHOLD * F.greatest("n", "cn")))
-    return met.groupBy(F.least("cid", "centre").alias("a"), F.greatest("cid", "centre").alias("b")).agg(F.count("*").alias("shared"))
+    """a, b, shared (in how many buckets): edges between the centres of a bucket and its members, of different roots.
+
+    A bucket of at most STARS + 1 members has all but its last as centres, so it misses no pair; a larger one has HUBS."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy(*order, "node"))
+    most = F.when(F.col("size") <= STARS + 1, STARS).otherwise(HUBS)
+    centres = buckets.withColumn("place", place).where(F.col("place") <= STARS).where(F.col("place") <= most)
+    centres = centres.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("croot"))
+    alike = 100 * F.least("n", "cn") >= THRESHOLD * F.greatest("n", "cn")
+    met = buckets.alias("m").join(centres.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("root") != F.col("croot")) & alike)
+    return met.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def _mixed(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets that hold different roots, with the bucket's size."""
+    kinds = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    return buckets.drop("size").join(kinds.select("key", "size"), "key")
+
+
+def _split(large: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """Buckets that are too large for all pairs, split by each of the SPLITS bands behind the last one used.
+
+    What only shares a common passage seldom shares two bands; links share many pairs of bands.  STARS + 1 members stand
+    for a component in a bucket: its other members have the same root already."""
+    order = F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("node", "key", F.lit(turn))))
+    some = large.withColumn("place", order).where(F.col("place") <= STARS + 1)
+    known = some.select("node", "n", "root", "key", "at").join(classes.select("node", "bands"), "node")
+    steps = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda d: ((F.col("at") + d) % BANDS).cast("int"))
+    deeper = known.select("node", "n", "root", "bands", F.col("key").alias("old"), F.explode(steps).alias("at"))
+    return deeper.select("node", "n", "root", "at", F.xxhash64("old", F.get("bands", F.col("at"))).alias("key"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """docs' ids with n_shingles, component_id and kept: a row for each row of docs (id, n_shingles, component_id, kept)."""
     scratch = Scratch(docs.sparkSession)
     sets = scratch.table(document_sets(docs, id_col, text_col), "sets")
-    classes = scratch.table(sets.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("cid", "n", F.explode("bands").alias("key"))
-    pairs = scratch.table(_stars(buckets, []), "pairs0")
-    nodes = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    full = scratch.table(_full_sets(docs, id_col, text_col, classes.join(nodes, "cid", "left_semi")), "full0")
-    links, roots = None, None
-
-    def test(some: DataFrame, name: str) -> bool:
-        """Confirm some; whether there were links."""
+    some = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
+    classes = some.groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    buckets = classes.select("node", "n", F.posexplode("bands").alias("at", "key"))
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = scratch.table(buckets.join(sizes, "key"), "buckets")  # most classes are alone in all their buckets
+    pairs = scratch.table(_likely(_stars(shared.withColumn("root", F.col("node")), []), classes, percent), "pairs")
+    links, roots, fulls = None, None, []
+
+    def test(untested: DataFrame, name: str) -> bool:
+        """Confirm pairs; whether there were links."""
         nonlocal links, roots
-        good = scratch.table(_confirm(some, full, percent), f"links_{name}")
+        nodes = untested.select(F.col("a").alias("node")).union(untested.select(F.col("b").alias("node"))).distinct()
+        for f in fulls:
+            nodes = nodes.join(f.select("node"), "node", "left_anti")
+        wanted = scratch.table(classes.select("node", "cid", "rep").join(nodes, "node"), f"wanted_{name}")
+        if not wanted.isEmpty():
+            fulls.append(scratch.table(_full_sets(docs, id_col, text_col, wanted), f"full_{name}"))
+        if not fulls:
+            return False
+        full = fulls[0]
+        for f in fulls[1:]:
+            full = full.union(f)
+        good = scratch.table(_confirm(untested, full, percent), f"links_{name}")
         if good.isEmpty():
             return False
         links = good if links is None else links.union(good)
@@ -243,47 +341,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return True
 
     def apart(some: DataFrame) -> DataFrame:
-        """Those of some whose ends are in different components, with the components ra and rb."""
+        """Those of some whose ends are in different components."""
         if roots is None:
-            return some.withColumn("ra", F.col("a")).withColumn("rb", F.col("b"))
+            return some
+        own = some.columns
         for side in "ab":
             mine = roots.select(F.col("node").alias(side), F.col("root").alias("r"))
             some = some.join(mine, side, "left").withColumn(f"r{side}", F.coalesce("r", side)).drop("r")
-        return some.where("ra <> rb")
+        return some.where("ra <> rb").select(*own)
 
-    best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(F.col("shared").desc(), "a"))
-    first = scratch.table(pairs.withColumn("place", best(["b"])).where("place = 1").drop("place"), "first")
+    best = F.max_by("a", F.struct("shared", -F.col("a")))
+    first = scratch.table(pairs.groupBy("b").agg(best.alias("a")).select("a", "b"), "first")
     test(first, "first")
-    rest = scratch.table(apart(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")), "rest")
-    second = scratch.table(rest.withColumn("place", best(["b", "ra"])).where("place = 1").select("a", "b"), "second")
-    test(second, "second")
-    third = apart(rest.select("a", "b").join(second, ["a", "b"], "left_anti"))
-    test(third, "third")
-    tested = pairs.select("a", "b")
-    turn = 0
-    big = scratch.table(buckets.join(buckets.groupBy("key").count().where(F.col("count") > STARS + 1).select("key"), "key", "left_semi"), "big")
-    while True:
-        turn += 1
-        rooted = big if roots is None else big.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-        rooted = rooted.withColumn("root", F.coalesce("root", "cid")) if roots is not None else rooted.withColumn("root", F.col("cid"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        open_ = big.join(mixed, "key", "left_semi")
-        more = scratch.table(apart(_stars(open_, [F.xxhash64("cid", F.lit(turn))]).join(tested, ["a", "b"], "left_anti")).select("a", "b"), f"pairs{turn}")
-        if more.isEmpty():
+    rest = apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    # Large buckets of several components: split until all pairs of a part can be candidates.
+    large, tested = shared.where(F.col("size") > STARS + 1), pairs.select("a", "b")
+    for turn in range(TURNS):
+        now = large.withColumn("root", F.col("node")) if roots is None else large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now, found = _mixed(now), []
+        for depth in range(DEPTH):
+            parts = scratch.table(_mixed(_split(now, classes, turn)), f"parts{turn}_{depth}")
+            done = parts if depth == DEPTH - 1 else parts.where(F.col("size") <= STARS + 1)
+            found.append(_stars(done, [F.xxhash64("node", F.lit(turn))]).select("a", "b"))
+            now = parts.where(F.col("size") > STARS + 1)
+            if now.isEmpty():
+                break
+        more = found[0]
+        for f in found[1:]:
+            more = more.union(f)
+        more = more.distinct().join(tested, ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))
+        more = _likely(more, classes, percent).select("a", "b")
+        more = scratch.table(more if turn else more.union(rest), f"more{turn}")
+        if more.isEmpty() or not test(more, f"more{turn}"):
             break
-        nodes = more.select(F.col("a").alias("cid")).union(more.select(F.col("b").alias("cid"))).distinct()
-        new = nodes.join(full.select("cid"), "cid", "left_anti")
-        added = scratch.table(_full_sets(docs, id_col, text_col, classes.join(new, "cid", "left_semi")).join(new, "cid", "left_semi"), f"full{turn}")
-        full = full.union(added)
         tested = tested.union(more)
-        if not test(more, f"turn{turn}"):
-            break
-    labels = classes.select("cid", "rep")
+    labels = classes.select("cid", "node", "rep")
     if roots is not None:
-        rooted = labels.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+        rooted = labels.join(roots, "node", "left").select("cid", "rep", F.coalesce("root", "node").alias("root"))
         labels = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cid", F.col("least").alias("rep"))
-    labels = scratch.table(labels, "labels")
-    scratch.drop("full0")
+    labels = scratch.table(labels.select("cid", "rep"), "labels")
     own = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("rep"))
     return sets.select("id", "n", "cid").join(labels, "cid", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("id").eqNullSafe(own).alias("kept"),
