@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import Scratch, sent_or_dealt
+
 #: Uncompressed bytes after which the writer closes an archive.
 ARCHIVE_BYTES = 16 << 20
 #: Bytes that the normaliser inflates at once.
@@ -34,8 +36,9 @@ def elect(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
         F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).alias("url"),
         F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
-    winners = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("order").alias("winner"))
-    joined = rows.join(winners, "digest", "left")
+    winners = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("order").alias("winner"), F.count("*").alias("n"))
+    winners = Scratch(pages.sparkSession).table(winners.where("n > 1").select("digest", "winner"), "winners")  # a payload that is alone needs none
+    joined = rows.join(sent_or_dealt(winners, F.lit(128)), "digest", "left")
     revisit = F.when(~F.col("order").eqNullSafe(F.col("winner")), F.col("winner").cast("string"))
     return joined.select("id", "url", "payload", revisit.alias("refers_to"))
 
