@@ -14,7 +14,7 @@ Working columns have their own names, so extra columns of any name do no harm.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, free_name, lower_ascii
+from logloom.llm.common import Scratch, free_name, lower_ascii, sent_or_dealt
 
 SPACE = "\t\n\x0b\x0c\r "
 #: Keys with fewer code points stay.
@@ -32,14 +32,13 @@ def _same(a: str, b: str) -> Column:
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY, scratch: Scratch | None = None) -> DataFrame:
     """One row for each (document, text) that loses lines: id, text_hash, drops array<struct<word, bits>>, n_dropped."""
     scratch = scratch or Scratch(docs.sparkSession)
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_key)
     hashed = keyed.select(F.struct(F.xxhash64("key").alias("a"), F.xxhash64(F.lit("b"), F.col("key")).alias("b")).alias("h"), "id", "text_hash", "pos")
-    hashed = scratch.table(hashed, "hashes")  # range partitioning reads its input twice
+    hashed = scratch.table(hashed.hint("rebalance"), "hashes")  # range partitioning reads its input twice
     order = ["h", F.col("id").asc_nulls_first(), "text_hash", "pos"]
-    laid = scratch.table(hashed.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
+    laid = scratch.table(hashed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
     doc = F.struct(F.col("id").isNotNull().alias("some"), "id")
     ends = laid.groupBy("part").agg(F.min(F.struct("h", doc.alias("doc"))).alias("low"), F.max("h").alias("last_h"))
     # One row for each partition: of the partitions that the low key of this one spans, the first document stands in the earliest.
@@ -66,7 +65,9 @@ def apply_bitmap(text: Column, drops: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY, scratch: Scratch | None = None) -> DataFrame:
     """docs with two more columns: drops (the bitmap, null if nothing goes) and n_dropped."""
-    maps = drop_bitmaps(docs, id_col, text_col, min_key, scratch)
+    scratch = scratch or Scratch(docs.sparkSession)
+    maps = scratch.table(drop_bitmaps(docs, id_col, text_col, min_key, scratch), "bitmaps")
+    maps = sent_or_dealt(maps, 64 + 24 * F.size("drops"))
     left = {c: free_name(docs, f"_{c}") for c in ("id", "text_hash")}
     maps = maps.select(*[F.col(c).alias(x) for c, x in left.items()], "drops", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
