@@ -13,7 +13,7 @@ from logloom.llm.common import UPPER, Scratch, read_table
 
 def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.shard_documents(docs, shards=16)
+    return sharding.shard_documents(docs, shards=16).hint("rebalance")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents")).hint("rebalance")
 
 
 #: Cheap on the smaller tables only: it lists all shingles and counts what each pair of documents shares.
@@ -148,7 +148,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select(
         "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), "n_dropped",
         F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
-    )
+    ).hint("rebalance")
 
 
 OP8_SQL = f"""
@@ -174,7 +174,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-    )
+    ).hint("rebalance")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
