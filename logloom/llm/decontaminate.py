@@ -26,7 +26,7 @@ WINDOW = 10
 #: Bytes of benchmark text that one pass sends to the tasks.
 BLOCK_BYTES = 8 << 20
 #: Words of documents in one suffix array.
-ARRAY_WORDS = 1 << 21
+ARRAY_WORDS = 1 << 19
 #: Lower-cased; what is no word character becomes a space.
 WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER_BYTES)
 OURS = ("n_words", "hits", "matches")

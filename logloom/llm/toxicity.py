@@ -45,17 +45,18 @@ class _Terms(dict):
 
     def __init__(self, terms: dict[str, int]):
         self.terms = terms
+        self.heads = {t.encode()[:3] for t in terms}  # most words begin like no term
 
     def __missing__(self, word: bytes):
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
-        found = self[word] = tuple(t for f in features(word) if (t := self.terms.get(f)) is not None)
+        found = self[word] = () if word[:3] not in self.heads else tuple(t for f in features(word) if (t := self.terms.get(f)) is not None)
         return found
 
 
 def vector(text: bytes | None, terms: _Terms) -> dict[int, int]:
     """How often each term occurs."""
-    return Counter(t for found in map(terms.__getitem__, words(text)) for t in found)
+    return Counter(t for found in filter(None, map(terms.__getitem__, words(text))) for t in found)
 
 
 class Index:
@@ -238,12 +239,12 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", evide
                     counts = vector(t and t.encode(), terms)
                     key = tuple(sorted(counts.items()))
                     if key not in known:
-                        if len(known) > 1 << 16:
+                        if len(known) > 1 << 12:
                             known.clear()
-                        known[key] = model.score(counts)
-                    score, near = known[key]
-                    scores.append(score)
-                    why.append([{"id": str(model.ids[i]), "cosine": c, "label": model.labels[i]} for c, i in near[:evidence]])
+                        score, near = model.score(counts)
+                        known[key] = score, [{"id": str(model.ids[i]), "cosine": c, "label": model.labels[i]} for c, i in near[:evidence]]
+                    scores.append(known[key][0])
+                    why.append(known[key][1])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= REJECT) for s in scores], pa.int32()), pa.array(why, types)], [*kept, *OURS])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double, predicted int, evidence array<struct<id:string,cosine:double,label:int>>"])
