@@ -8,8 +8,7 @@ The greedy check needs one question answered: which is the last group end at or
 distributed table; the driver holds only histogram bins of it (FIRST_BINS, then BINS more for each bin that a trial
 could not decide), so its memory has a bound that does not depend on the number of groups.
 
-Defined results: null text is a group of its own with size 1; an empty text has size 1 too and is another group; null
-ids sort first; repeated rows each keep their row; an empty table gives no rows; extra columns pass through unless they
+Defined results: a null text counts as an empty one, so both are one group and have size 1 each; null ids sort first; repeated rows each keep their row; an empty table gives no rows; extra columns pass through unless they
 bear the name of an output column, in which case the output column wins.
 """
 
@@ -108,21 +107,20 @@ def _offsets(parts: DataFrame, n: str, by: list[Column]) -> DataFrame:
 
 def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard) and grown_shard (null)."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     ours = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
     extra = [c for c in docs.columns if c.lower() not in ours | {id_col.lower(), text_col.lower()}]
-    text = F.col(text_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b"")).alias("digest"),
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
         F.struct(*[F.col(f"`{c}`") for c in extra]).alias("extra") if extra else F.lit(None).alias("extra"),
     )
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ["first", "digest"]
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"), F.min(F.struct(F.col("id").isNotNull(), "id")).alias("first"))
-    ranged = scratch.table(groups.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "groups")
+    ranged = scratch.table(groups.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "groups")
     before = _offsets(ranged.groupBy("part").agg(F.sum("size").alias("n")), "n", [])
     running = F.sum("size").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     ends = scratch.table(
@@ -135,7 +133,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
         shard = shard + F.when(F.col("end") > cut, 1).otherwise(0)
     placed = rows.join(ends.select("digest", "end", shard.cast("int").alias("shard")), "digest")
     place = ["shard", "end", F.col("id").asc_nulls_first(), "crc"]
-    laid = scratch.table(placed.drop("digest").repartitionByRange(n, *place).withColumn("part", F.spark_partition_id()), "placed")
+    laid = scratch.table(placed.drop("digest").repartitionByRange(*place).withColumn("part", F.spark_partition_id()), "placed")
     before = _offsets(laid.groupBy("part", "shard").agg(F.count("*").alias("n")), "n", [F.col("shard")]).select("part", "shard", "before")
     rank = F.row_number().over(Window.partitionBy("part", "shard").orderBy("end", F.col("id").asc_nulls_first(), "crc"))
     out = laid.withColumn("rank", rank).join(before, ["part", "shard"])

@@ -28,6 +28,7 @@ def test_shards_are_minimax(spark):
     assert len(out) == len(rows) and "part" in out[0].asDict() and out[0].law == "bytes"
     groups = {}
     for i, t, *_ in rows:
+        t = t or ""
         g = groups.setdefault(t, [(i is not None, i if i is not None else 0), 0])
         g[0], g[1] = min(g[0], (i is not None, i if i is not None else 0)), g[1] + len((t or "").encode()) + 1
 
@@ -52,7 +53,7 @@ def test_shards_are_minimax(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
     text_shards = {}
     for (i, t, *_), in zip(rows, strict=True):
-        text_shards.setdefault(zlib.crc32(t.encode()) if t is not None else None, set())
+        text_shards.setdefault(zlib.crc32((t or "").encode()), set())
     for r in out:
         text_shards[r.text_crc32].add(r.shard)
     assert all(len(v) == 1 for v in text_shards.values())
