@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, free_name
+from logloom.llm.common import Scratch, free_name, sent_or_dealt
 from logloom.llm.neardup import _sliced, mix, range_hashes
 
 LENGTH, SPREAD, BLOCK, SPLIT = 400, 192, 16, 4096
@@ -273,7 +273,8 @@ def _count_windows(blocks: DataFrame, block: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, spread: int = SPREAD, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
     """docs: raw (bytes), tk (their 16-byte key).  tk, spans: unsorted (start, end) of repeated bytes, one row for each text with any."""
     all_runs = scratch.table(_all_runs(docs, length, spread), "runs")
-    cores = all_runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core")
+    # A table of its own: a join of two shuffles is split where one core has many rows.
+    cores = scratch.table(all_runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
     again = scratch.table(all_runs.join(cores, "core", "left_semi"), "again")
     scratch.drop("runs")
     classes = again.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tk", "a", "i0", "i1")).alias("one"))
@@ -282,7 +283,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, spre
     mixed = classes.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("core")
     open_ = classes.join(mixed, "core", "left_semi")
     wanted = open_.groupBy("one.tk").agg(F.collect_list(F.struct("core", "whole", F.col("one.a").alias("a"), F.col("one.i0").alias("i0"), F.col("one.i1").alias("i1"), "n")).alias("some"))
-    texts = docs.join(wanted, "tk")
+    wanted = scratch.table(wanted, "wanted")
+    texts = docs.join(sent_or_dealt(wanted, 64 + 48 * F.size("some")), "tk")
     blocks = scratch.table(_blocks(texts, length, block).dropDuplicates(["core", "whole", "number"]), "blocks")
     kinds = scratch.table(blocks.groupBy("core", "part", "left", "right").agg(F.sum("n").alias("n")), "kinds")
     groups = kinds.groupBy("core", "part").agg(F.count("*").alias("k"), F.min("n").alias("least"))
@@ -325,6 +327,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     kept = [c for c in docs.columns if c.lower() not in OURS]
     own = docs.select(*[F.col(f"`{c}`") for c in kept])
     tk, many = free_name(own, "_tk"), free_name(own, "_many")
+    spans = sent_or_dealt(spans, 64 + 24 * F.size("spans"))
     joined = own.withColumn(tk, F.unhex(F.substring(F.sha2(raw, 256), 1, 32))).join(spans.select(F.col("tk").alias(tk), F.col("spans").alias(many)), tk, "left").select(*kept, many)
     at = kept.index(text_col)
     types = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
