@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import LOWER_BYTES, Scratch, sent_or_dealt
 
-SHINGLE, BANDS, ROWS, STARS, HUBS, SPLITS, DEPTH, TURNS = 5, 40, 5, 8, 4, 4, 4, 3
+SHINGLE, BANDS, ROWS, STARS, HUBS, SPLITS, DEPTH, TURNS = 5, 40, 5, 8, 2, 4, 4, 3
 THRESHOLD = 75  # per cent
 #: Edges whose components one task may join.
 ONE_TASK = 200_000
@@ -147,7 +147,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
     return key.view(np.int64)
 
 
-def _sliced(batches, column: int = 1, most: int = 16 << 20):
+def _sliced(batches, column: int = 1, most: int = 4 << 20):
     """Batches of at most most characters of text, but of one row at least."""
     for b in batches:
         size, begin = 0, 0
@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = some.groupBy("cid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    buckets = classes.select("node", "n", F.posexplode("bands").alias("at", "key"))
+    can_link = 100 * F.col("n") >= percent * (F.col("n") + 1)  # a smaller set is similar enough to no other set
+    buckets = classes.where(can_link).select("node", "n", F.posexplode("bands").alias("at", "key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = scratch.table(buckets.join(sizes, "key"), "buckets")  # most classes are alone in all their buckets
     pairs = scratch.table(_likely(_stars(shared.withColumn("root", F.col("node")), []), classes, percent), "pairs")
