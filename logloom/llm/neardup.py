@@ -5,9 +5,9 @@
 2. Documents with equal sets are one class.  Classes that share a band meet in a bucket; a bucket gives edges between its
    centres (all members if it has at most STARS + 1, else HUBS) and the members only, so pairs grow with rows.
 3. Pairs whose signatures agree too little to be links go; the others are confirmed on full sets: first the best centre of
-   each class, then what still joins different components.  Buckets of more than STARS + 1 members that still hold
-   different components are split by further bands until all pairs of a part are candidates: TURNS times, or until no link is
-   found, with other members standing for each component.
+   each class, then what still joins different components.  The members of all buckets of more than STARS + 1 that then still
+   hold different components are joined exactly: two sets that are similar enough share one of their rarest shingles (a
+   prefix), so all pairs of different components that do are candidates.
 4. Components by union-find in one task for few edges, else by large-star and small-star steps on tables in the shared folder.
 
 At a similarity of 0.75 exactly a pair shares no band with a probability of 2e-5; at 0.8, 1e-7.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import LOWER_BYTES, Scratch, sent_or_dealt
 
-SHINGLE, BANDS, ROWS, STARS, HUBS, SPLITS, DEPTH, TURNS = 5, 40, 5, 8, 2, 4, 4, 3
+SHINGLE, BANDS, ROWS, STARS, HUBS = 5, 40, 5, 8, 2
 THRESHOLD = 75  # per cent
 #: Edges whose components one task may join.
 ONE_TASK = 200_000
@@ -293,17 +293,30 @@ def _mixed(buckets: DataFrame) -> DataFrame:
     return buckets.drop("size").join(kinds.select("key", "size"), "key")
 
 
-def _split(large: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """Buckets that are too large for all pairs, split by each of the SPLITS bands behind the last one used.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """token, node, n, left for the prefix of each of sets: two sets that are similar enough share a token of both prefixes.
 
-    What only shares a common passage seldom shares two bands; links share many pairs of bands.  STARS + 1 members stand
-    for a component in a bucket: its other members have the same root already."""
-    order = F.row_number().over(Window.partitionBy("key", "root").orderBy(F.xxhash64("node", "key", F.lit(turn))))
-    some = large.withColumn("place", order).where(F.col("place") <= STARS + 1)
-    known = some.select("node", "n", "root", "key", "at").join(classes.select("node", "bands"), "node")
-    steps = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda d: ((F.col("at") + d) % BANDS).cast("int"))
-    deeper = known.select("node", "n", "root", "bands", F.col("key").alias("old"), F.explode(steps).alias("at"))
-    return deeper.select("node", "n", "root", "at", F.xxhash64("old", F.get("bands", F.col("at"))).alias("key"))
+    Tokens are ordered by the number of sets that hold them, so a prefix has what few sets share.  left counts the set's
+    tokens from this one on that other sets hold too: no more can be shared by two sets whose first shared token it is."""
+    tokens = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    met = tokens.join(held, "token").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("met"))
+    least = F.floor((percent * F.col("n") + 99) / 100).cast("int")  # tokens shared with any set similar enough
+    first = met.where(F.size("met") >= least).select("node", "n", F.size("met").alias("all"), F.slice("met", F.lit(1), F.size("met") - least + 1).alias("met"))
+    return first.select("node", "n", "all", F.posexplode("met").alias("at", "t")).select(F.col("t.token").alias("token"), "node", "n", (F.col("all") - F.col("at")).alias("left"))
+
+
+def _all_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs of prefixes (with root) of different roots that may be similar enough; none that is goes missing."""
+    roots = prefixes.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token")
+    mixed = roots.agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")  # of two roots, one at least is not the main one
+    some = prefixes.join(mixed.select("token", "main"), "token")
+    a, b = (some.select("token", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "left", "root")]) for side in "ab")
+    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    met = a.where("root_a <> main").drop("main").join(b, "token").where(once & alike & enough)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
@@ -320,26 +333,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = scratch.table(_likely(_stars(shared.withColumn("root", F.col("node")), []), classes, percent), "pairs")
     links, roots, fulls = None, None, []
 
-    def test(untested: DataFrame, name: str) -> bool:
-        """Confirm pairs; whether there were links."""
-        nonlocal links, roots
-        nodes = untested.select(F.col("a").alias("node")).union(untested.select(F.col("b").alias("node"))).distinct()
+    def full_sets(nodes: DataFrame, name: str) -> DataFrame:
+        """node, shingles of nodes, at least; each set is made once."""
+        new = nodes
         for f in fulls:
-            nodes = nodes.join(f.select("node"), "node", "left_anti")
-        wanted = scratch.table(classes.select("node", "cid", "rep").join(nodes, "node"), f"wanted_{name}")
+            new = new.join(f.select("node"), "node", "left_anti")
+        wanted = scratch.table(classes.select("node", "cid", "rep").join(new, "node"), f"wanted_{name}")
         if not wanted.isEmpty():
             fulls.append(scratch.table(_full_sets(docs, id_col, text_col, wanted), f"full_{name}"))
-        if not fulls:
-            return False
         full = fulls[0]
         for f in fulls[1:]:
             full = full.union(f)
-        good = scratch.table(_confirm(untested, full, percent), f"links_{name}")
+        return full
+
+    def test(untested: DataFrame, name: str) -> None:
+        """Confirm pairs."""
+        nonlocal links, roots
+        nodes = untested.select(F.col("a").alias("node")).union(untested.select(F.col("b").alias("node"))).distinct()
+        good = scratch.table(_confirm(untested, full_sets(nodes, name), percent), f"links_{name}")
         if good.isEmpty():
-            return False
+            return
         links = good if links is None else links.union(good)
         roots = components(links, scratch, f"roots_{name}")
-        return True
+
+    def rooted(some: DataFrame) -> DataFrame:
+        """some (with node) with the root of each node."""
+        if roots is None:
+            return some.withColumn("root", F.col("node"))
+        return some.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def apart(some: DataFrame) -> DataFrame:
         """Those of some whose ends are in different components."""
@@ -353,33 +374,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     best = F.max_by("a", F.struct("shared", -F.col("a")))
     first = scratch.table(pairs.groupBy("b").agg(best.alias("a")).select("a", "b"), "first")
-    test(first, "first")
+    if not first.isEmpty():
+        test(first, "first")
     rest = apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"))
-    # Large buckets of several components: split until all pairs of a part can be candidates.
-    large, tested = shared.where(F.col("size") > STARS + 1), pairs.select("a", "b")
-    for turn in range(TURNS):
-        now = large.withColumn("root", F.col("node")) if roots is None else large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        now, found = _mixed(now), []
-        for depth in range(DEPTH):
-            parts = scratch.table(_mixed(_split(now, classes, turn)), f"parts{turn}_{depth}")
-            done = parts if depth == DEPTH - 1 else parts.where(F.col("size") <= STARS + 1)
-            found.append(_stars(done, [F.xxhash64("node", F.lit(turn))]).select("a", "b"))
-            now = parts.where(F.col("size") > STARS + 1)
-            if now.isEmpty():
-                break
-        more = found[0]
-        for f in found[1:]:
-            more = more.union(f)
-        more = more.distinct().join(tested, ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))
-        more = _likely(more, classes, percent).select("a", "b")
-        more = scratch.table(more if turn else more.union(rest), f"more{turn}")
-        if more.isEmpty() or not test(more, f"more{turn}"):
-            break
-        tested = tested.union(more)
+    if not (rest := scratch.table(rest, "rest")).isEmpty():
+        test(rest, "rest")
+    # Large buckets of several components: every pair of their members is covered by an exact join.
+    large = rooted(shared.where(F.col("size") > STARS + 1))
+    members = scratch.table(_mixed(large).select("node").distinct(), "members")
+    if not members.isEmpty():
+        prefixes = scratch.table(_prefixes(full_sets(members, "members"), percent), "prefixes")
+        more = _all_pairs(rooted(prefixes), percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))
+        more = scratch.table(_likely(more, classes, percent).select("a", "b"), "more")
+        if not more.isEmpty():
+            test(more, "more")
     labels = classes.select("cid", "node", "rep")
     if roots is not None:
-        rooted = labels.join(roots, "node", "left").select("cid", "rep", F.coalesce("root", "node").alias("root"))
-        labels = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cid", F.col("least").alias("rep"))
+        labels = rooted(labels)
+        labels = labels.join(labels.groupBy("root").agg(F.min("rep").alias("least")), "root").select("cid", F.col("least").alias("rep"))
     labels = scratch.table(labels.select("cid", "rep"), "labels")
     own = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("rep"))
     return sets.select("id", "n", "cid").join(labels, "cid", "left").select(

@@ -105,6 +105,27 @@ def test_near_duplicates(spark, stars, monkeypatch):
     assert neardup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def one_bucket_for_all(monkeypatch):
+    """Every document shares all bands with every other one, as where all hold one long passage."""
+    sets = neardup.document_sets
+    same = F.when(F.col("n") > 0, F.array(*[F.lit(i).cast("long") for i in range(neardup.BANDS)]))
+    monkeypatch.setattr(neardup, "document_sets", lambda *a: sets(*a).withColumn("bands", same))
+
+
+def test_near_duplicates_of_any_member_of_a_large_bucket(spark, monkeypatch):
+    one_bucket_for_all(monkeypatch)
+    # A text linked to one only of a component's 60 members, many times over.
+    word = lambda *x: hashlib.md5(str(x).encode()).hexdigest()[:6]
+    base = [word(i) for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 61):
+        mine = base[:-20] + [word(i, k) for k in range(20)]  # similar to base, and at 0.8 to one another
+        rows += [(i, " ".join(mine)), (100 + i, " ".join([word(i, "first", k) for k in range(20)] + mine[20:]))]  # to mine at 0.8, to others at less than 0.7
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 1
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == sorted(want)
+
+
 def test_long_documents_hash_in_pieces(monkeypatch):
     texts = [" ".join(str(i % 700) for i in range(3000)).encode(), b"a b", b"", None, b"a b c d e f"]
     whole = neardup.shingle_sets(texts)
