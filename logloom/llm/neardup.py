@@ -10,7 +10,8 @@
    prefix), so all pairs of different components that do are candidates.
 4. Components by union-find in one task for few edges, else by large-star and small-star steps on tables in the shared folder.
 
-At a similarity of 0.75 exactly a pair shares no band with a probability of 2e-5; at 0.8, 1e-7.
+At a similarity of 0.75 exactly a pair shares no band with a probability of 2e-5; at 0.8, 1e-7 (bins taken as independent).
+A pair that shares one is a candidate or already in one component, however large the bucket.
 
 Defined results: a document without words (or text) has an empty set and links with nothing; with fewer than five words its
 whole sequence is the one shingle; rows without an id link with nothing, have no component and are kept; repeated rows have

@@ -126,6 +126,14 @@ def test_near_duplicates_of_any_member_of_a_large_bucket(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == sorted(want)
 
 
+def test_near_duplicates_of_parts_that_no_band_splits(spark, monkeypatch):
+    one_bucket_for_all(monkeypatch)
+    rows = [(2 * i + k, " ".join(f"w{i}_{j}" for j in range(30)) + (" more" if k else "")) for i in range(60) for k in range(2)]
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 60
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == sorted(want)
+
+
 def test_long_documents_hash_in_pieces(monkeypatch):
     texts = [" ".join(str(i % 700) for i in range(3000)).encode(), b"a b", b"", None, b"a b c d e f"]
     whole = neardup.shingle_sets(texts)
