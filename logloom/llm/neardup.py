@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import LOWER_BYTES, Scratch, sent_or_dealt
 
-SHINGLE, BANDS, ROWS, STARS, HUBS = 5, 40, 5, 8, 2
+SHINGLE, BANDS, ROWS, STARS, HUBS = 5, 40, 5, 8, 4
 THRESHOLD = 75  # per cent
 #: Edges whose components one task may join.
 ONE_TASK = 200_000
