@@ -27,7 +27,7 @@ from logloom.llm.neardup import _sliced
 
 #: Bounds of fitting: labelled documents and terms.
 EXAMPLES, TERMS = 20_000, 4_096
-#: A term occurs in so many examples at least, is so many times as frequent in toxic ones, and has so great a chi-square.
+#: A term occurs in so many examples at least, has so many times the odds to be in a toxic one, and so great a chi-square.
 LEAST_DOCS, LIFT, CHI2 = 5, 3.0, 20.0
 BEGINNINGS = range(3, 9)
 BLOCK, NEIGHBOURS, REJECT = 64, 25, 0.7
@@ -170,7 +170,8 @@ def _terms(examples: DataFrame) -> dict[str, int]:
     counts = examples.select("text", "label").mapInArrow(count, "term string, n long, y long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     gap = F.col("y") - F.col("n") * rate
     chi2 = gap * gap / (F.col("n") * rate * (1 - rate))
-    good = counts.where((F.col("n") >= LEAST_DOCS) & (F.col("y") >= LIFT * rate * F.col("n")) & (chi2 >= CHI2)).select("term", chi2.alias("chi2"))
+    lifted = F.col("y") * (1 - rate) >= LIFT * rate * (F.col("n") - F.col("y"))  # odds, not shares: a share cannot be LIFT times a rate above 1 / LIFT
+    good = counts.where((F.col("n") >= LEAST_DOCS) & lifted & (chi2 >= CHI2)).select("term", chi2.alias("chi2"))
     return {r["term"]: i for i, r in enumerate(good.orderBy(F.col("chi2").desc(), "term").limit(TERMS).collect())}
 
 

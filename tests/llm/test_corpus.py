@@ -261,3 +261,17 @@ def test_pipeline_stages(spark, tmp_path):
     packed = cp.pack(spark, now, d).collect()
     assert {r.doc_id for r in packed} == set(before)
     assert cp.run(spark, d).count() == len(packed)
+
+
+@pytest.mark.parametrize("share", [2, 5])
+def test_toxicity_at_high_base_rates(spark, share):
+    """1 - 1/share of the labelled texts are toxic."""
+    r = random.Random(7)
+    neutral, bad = [f"word{i}" for i in range(300)], [f"slur{i}" for i in range(4)]
+    texts = [(i, " ".join(r.choices(neutral, k=30) + (r.choices(bad, k=4) if i % share else []))) for i in range(900)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % share > 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    assert {f"slur{i}" for i in range(4)} <= set(model.terms)
+    out = [x for x in toxicity.score_documents(docs, model).collect() if x.doc_id >= 600]
+    assert [x.predicted for x in out] == [int(x.doc_id % share > 0) for x in out]
