@@ -186,7 +186,7 @@ def find_pattern_top32(spark, sf):
 @query(f"{WITH} SELECT entry_id, user_id, k FROM e WHERE member = 'click' AND k < 3")
 def pattern_on_scripts(spark, sf):
     rows = S.scripts(spark, sf).where(F.lower("script").contains("click"))
-    parsed = S.parse_scripts(rows, types={"User": ["User", "Account"]}, variables={f"user_{i}": "User" for i in range(5000)})
+    parsed = S.parse_scripts(rows, types={"User": ["User", "Account"]}, prefixes={"user_": "User"})
     return match(parsed, "[Account].click($kk:int, 'click') where $kk < 3").select("entry_id", "user_id", F.col("kk").alias("k"))
 
 

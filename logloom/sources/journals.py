@@ -76,7 +76,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).withColumn("script", text).withColumn("actor", F.lit(""))
 
 
-def parse_scripts(rows: DataFrame, types: dict[str, list[str]] | None = None, variables: dict[str, str] | None = None, script: str = "script") -> DataFrame:
+def parse_scripts(rows: DataFrame, types: dict[str, list[str]] | None = None, variables: dict[str, str] | None = None, script: str = "script", prefixes: dict[str, str] | None = None) -> DataFrame:
     """rows with calls, the facts of their scripts.  Each distinct text is parsed once; texts that do not parse have none."""
     import pyarrow as pa
 
@@ -89,7 +89,7 @@ def parse_scripts(rows: DataFrame, types: dict[str, list[str]] | None = None, va
             out = []
             for s in b.column(0).to_pylist():
                 try:
-                    out.append(L.facts(s, types=types, variables=variables))
+                    out.append(L.facts(s, types=types, variables=variables, prefixes=prefixes))
                 except SyntaxFault:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["__script", "calls"])

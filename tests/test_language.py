@@ -190,3 +190,13 @@ def test_documents(spark):
     assert listed == 'i: 1\ns: "a\\"<b"\nd: 2\nn: null\nxs:\n  - x: 1\n  - x: 2\nt: 01/02/2024'
     assert "<s>a\"&lt;b</s>" in x and "<n/>" in x and "<item>" in x and x.startswith("<root>\n")
     assert df.select(find_alias(F.lit('{"a":1,"b":{"a":"x","c":[{"a":null}]}}'), "a")).first()[0] == ["1", '"x"', "null"]
+
+
+def test_pattern_on_scripts_of_any_user_id(spark, tmp_path):
+    from logloom import queries
+
+    rows = [(i, u, "click") for i, u in enumerate([0, 4999, 5000, 14999, 10**12])]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string")
+    events = events.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("value", F.lit(1.0)).withColumn("props", F.lit('{"k": 1}'))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.user_id for r in queries.pattern_on_scripts(spark, str(tmp_path)).collect()) == [0, 4999, 5000, 14999, 10**12]
