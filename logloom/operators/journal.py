@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Entries that a join takes as one key.
+STRETCH = 1 << 16
+
+
 # Scans
 def scan(journal: DataFrame, after: int = 0, elided: DataFrame | None = None) -> DataFrame:
     """Entries behind after that are not elided; order is that of entry_id."""
@@ -99,8 +103,13 @@ def confirm(destinations: DataFrame, confirmations: DataFrame) -> DataFrame:
 
 
 def unread(journal: DataFrame, destinations: DataFrame) -> DataFrame:
-    """For each destination the entries behind its watermark."""
-    return journal.join(F.broadcast(destinations.select("destination", "last_confirmed")), F.col("entry_id") > F.col("last_confirmed")).drop("last_confirmed")
+    """For each destination the entries behind its watermark.  Each destination meets the stretches of ids from its watermark
+    on, so the join has a key, however many destinations there are."""
+    head = journal.agg(F.floor(F.max("entry_id") / STRETCH).alias("__head"))  # one row
+    each = F.explode(F.sequence(F.least(F.floor(F.col("last_confirmed") / STRETCH), F.col("__head")), F.col("__head")))
+    wanted = destinations.select("destination", "last_confirmed").join(head).where("__head IS NOT NULL").select("destination", "last_confirmed", each.alias("__stretch"))
+    keyed = journal.withColumn("__stretch", F.floor(F.col("entry_id") / STRETCH))
+    return keyed.join(wanted, "__stretch").where(F.col("entry_id") > F.col("last_confirmed")).drop("last_confirmed", "__stretch")
 
 
 # Outbox
@@ -150,11 +159,12 @@ def promote(scripts: DataFrame, threshold: int = 10, script: str = "script") ->
 
 
 def invocations(defines: DataFrame, calls: DataFrame) -> DataFrame:
-    """Calls with the definition of their action that was the last before them."""
-    d = defines.select("action_id", F.col("entry_id").alias("define_id"), "define_text")
-    held = calls.join(d, (calls["action_id"] == d["action_id"]) & (d["define_id"] < calls["entry_id"])).drop(d["action_id"])
-    best = held.groupBy("entry_id").agg(F.max(F.struct("define_id", "define_text")).alias("d"), *[F.first(c).alias(c) for c in calls.columns if c != "entry_id"])
-    return best.select(*calls.columns, "d.define_id", "d.define_text")
+    """Calls with the definition of their action that was the last before them: one pass over both in order, no join."""
+    d = defines.select("action_id", "entry_id", F.struct(F.col("entry_id").alias("define_id"), "define_text").alias("__define"), F.lit(None).cast(calls.select(F.struct("*")).schema[0].dataType).alias("__call"))
+    c = calls.select("action_id", "entry_id", F.lit(None).cast(d.schema["__define"].dataType).alias("__define"), F.struct(*[F.col(x) for x in calls.columns]).alias("__call"))
+    w = Window.partitionBy("action_id").orderBy("entry_id", F.col("__define").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = d.unionByName(c).withColumn("__last", F.last("__define", ignorenulls=True).over(w))
+    return held.where("__call IS NOT NULL AND __last IS NOT NULL").select("__call.*", "__last.define_id", "__last.define_text")
 
 
 def upgrades(entries: DataFrame) -> DataFrame:
@@ -222,6 +232,13 @@ def ledger(tells: DataFrame, acks: DataFrame, failures: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.col("acked_at").isNotNull(), "acked").when(F.col("failed_at").isNotNull(), "failed").otherwise("pending"))
 
 
+def causation(tells: DataFrame, journal: DataFrame, check: Column) -> DataFrame:
+    """tells (entry_id, cause_id) with caused: whether the entry that they name is in the journal and passes check there.
+    Also a message whose own id is implicit is checked."""
+    causes = journal.where(check).select(F.col("entry_id").alias("cause_id"), F.lit(True).alias("caused")).distinct()
+    return tells.join(causes, "cause_id", "left").withColumn("caused", F.coalesce("caused", F.lit(False)))
+
+
 def saga_check(verbs: DataFrame, by: str = "actor") -> DataFrame:
     """verbs (start, step, compensate, close) with the state before each and whether it is legal.
 

@@ -1,8 +1,8 @@
 """Reactions as relational plans.
 
 A journal has entry_id (order), occurred_at, optionally actor (an independent stream each) and calls (facts).  Levels join
-on the actor and on every equality of "where", which Catalyst takes as hash keys; windows without such a key become
-bucketed range joins.  Quantifiers are windows and aggregates, an exact count needs the first entry behind its window
+on the actor and on every equality of "where", which Catalyst takes as hash keys; windows become bucketed range joins.
+Quantifiers are windows and aggregates, an exact count needs the first entry behind its window
 (an as-of join by a running minimum), coverage is relational division.
 
 Result: actor, levels (entry of each level), chain (all entries, ascending in each level), trigger_entry_id,
@@ -74,17 +74,26 @@ def _joined(parents: DataFrame, events: DataFrame, seek: Seek, how_anchor: str =
             on.append(F.col("e_entry_id") - F.col(f"{how_anchor}_id") <= seek.entries)
         if seek.time is not None:
             on.append(F.col("e_occurred_at") - F.col(f"{how_anchor}_at") <= F.lit(seek.time))
-    keyed = bool(same) or any(isinstance(c, S.Binary) and c.op == "==" for c in (S.conjuncts(S.parse_expression(seek.where)) if seek.where else []))
-    if how_anchor and seek.entries and not keyed:
-        # A range join: each parent meets its own bucket of entries and the next.
-        n = seek.entries
-        parents = parents.withColumn("bucket", F.explode(F.array(F.floor(F.col(f"{how_anchor}_id") / n), F.floor(F.col(f"{how_anchor}_id") / n) + 1)))
-        e = e.withColumn("e_bucket", F.floor(F.col("e_entry_id") / n))
+    if how_anchor and (seek.entries or seek.time):
+        # A range join: each parent meets its own bucket of entries (or of time) and the next, beside any other key, so that
+        # neither one actor nor one key brings all its history together.
+        if seek.entries:
+            mine, theirs = (F.floor(c / seek.entries) for c in (F.col(f"{how_anchor}_id"), F.col("e_entry_id")))
+        else:
+            span = int(seek.time.total_seconds() * 1_000_000) or 1
+            mine, theirs = (F.floor(_micros(c) / span) for c in (F.col(f"{how_anchor}_at"), F.col("e_occurred_at")))
+        parents = parents.withColumn("bucket", F.explode(F.array(mine, mine + 1)))
         on.append(F.col("bucket") == F.col("e_bucket"))
-        return parents.join(e, _all(on)).drop("bucket", "e_bucket")
+        return parents.join(e.withColumn("e_bucket", theirs), _all(on)).drop("bucket", "e_bucket")
     return parents.join(e, _all(on))
 
 
+def _micros(at: Column) -> Column:
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
+    days = F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return (days * 86400 + F.hour(at) * 3600 + F.minute(at) * 60) * 1_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+
+
 def _all(parts: list[Column]) -> Column:
     out = parts[0]
     for p in parts[1:]:
@@ -98,15 +107,26 @@ def _captures(parents: DataFrame | None, events: DataFrame, prefix: str) -> list
     return [v.alias(k) for k, v in (before | mine).items()]
 
 
+#: Entries, and microseconds, that a running minimum sees at once.
+STRETCH_IDS, STRETCH_MICROS = 1 << 16, 3_600_000_000
+
+
 def first_after(parents: DataFrame, journal: DataFrame, limit: Column, by: str = "entry_id", equal: bool = False) -> DataFrame:
     """parents with closing_id and closing_at: the first entry of the actor whose by is greater than limit (equal: or the
-    same); rows without one go.  One shuffle by actor and a running minimum, no range join."""
+    same); rows without one go.
+
+    A running minimum within stretches of each actor's stream, and one over the stretches for what a later one holds: no
+    range join, and no task that sees a whole stream."""
     marks = parents.withColumn("__limit", limit).withColumn("__row", F.struct(*[F.col(c) for c in parents.columns]))
     mine = marks.select("actor", F.col("__limit").alias("at"), F.lit(1 if equal else 0).alias("kind"), F.col("__row").alias("row"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("timestamp_ntz").alias("when"))
     theirs = journal.select("actor", F.col(by).alias("at"), F.lit(0 if equal else 1).alias("kind"), F.lit(None).cast(marks.schema["__row"].dataType).alias("row"), F.col("entry_id").alias("id"), F.col("occurred_at").alias("when"))
-    w = Window.partitionBy("actor").orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = mine.unionByName(theirs).withColumn("next", F.min(F.when(F.col("id").isNotNull(), F.struct("id", "when"))).over(w))
-    found = found.where(F.col("row").isNotNull() & F.col("next").isNotNull())
+    stretch = F.floor((F.col("at") / STRETCH_IDS) if by == "entry_id" else (_micros(F.col("at")) / STRETCH_MICROS))
+    both = mine.unionByName(theirs).withColumn("stretch", stretch).withColumn("event", F.when(F.col("id").isNotNull(), F.struct("id", "when")))
+    w = Window.partitionBy("actor", "stretch").orderBy(F.col("at").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("near", F.min("event").over(w)).where(F.col("row").isNotNull()).select("actor", "stretch", "row", "near")
+    later = Window.partitionBy("actor").orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = both.groupBy("actor", "stretch").agg(F.min("event").alias("first")).withColumn("far", F.min("first").over(later)).drop("first")
+    found = found.join(stretches, ["actor", "stretch"]).withColumn("next", F.coalesce("near", "far")).where("next IS NOT NULL")
     return found.select("row.*", F.col("next.id").alias("closing_id"), F.col("next.when").alias("closing_at"))
 
 
@@ -195,6 +215,8 @@ def detect(spec: Reaction, journal: DataFrame) -> DataFrame:
             if seek.time is not None:
                 pairs = pairs.where(F.col("e_occurred_at") - F.col("last_at") <= F.lit(seek.time))
             pairs = pairs.withColumn("chain", F.concat("chain", "ids")).drop("__key")
+            if seeks[k - 1].accumulate:
+                pairs = pairs.withColumn(f"c_{seeks[k - 1].accumulate.lower()}", F.col("ids"))
             pending = None
         else:
             exclusive = "closing_id" not in nodes.columns
@@ -230,7 +252,7 @@ def _many_nodes(acc: DataFrame) -> DataFrame:
 def _many_leaf(acc: DataFrame, seek: Seek, spec: Reaction) -> DataFrame:
     fired = _fires_many(acc, _KEY, seek.at_least, spec.stale_after)
     caught = [c for c in fired.columns if c.startswith("c_")]
-    return fired.select("actor", F.array_append("levels", F.col("first_id")).alias("levels"), F.concat("chain", "ids").alias("chain"), F.col("fired_id").alias("node_id"), F.col("fired_at").alias("node_at"), *caught)
+    return fired.select("actor", F.array_append("levels", F.col("first_id")).alias("levels"), F.concat("chain", "ids").alias("chain"), F.col("fired_id").alias("node_id"), F.col("fired_at").alias("node_at"), *caught, *([F.col("ids").alias(f"c_{seek.accumulate.lower()}")] if seek.accumulate else []))
 
 
 def _exact(nodes: DataFrame, ev: DataFrame, seek: Seek, journal: DataFrame) -> DataFrame:

@@ -117,6 +117,7 @@ class Reaction:
         return self._last(time=span) if isinstance(span, timedelta) else self._last(entries=span)
 
     def accumulate(self, name: str) -> Reaction:
+        """Give the entries that the many-seek has taken a column of their own."""
         return self._last(accumulate=name)
 
     def aged(self, span: timedelta) -> Reaction:
