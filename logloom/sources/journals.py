@@ -76,24 +76,70 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(spark, sf_dir).withColumn("script", text).withColumn("actor", F.lit(""))
 
 
+#: Literals that a script's skeleton leaves out: strings, and plain whole numbers that are no part of a name, date or fraction.
+_STRINGS = r"'(?:[^'\\]|\\.)*'"
+_WHOLE = r"(?<![A-Za-z_0-9#@$./:])(?:0|[1-9][0-9]{0,8})(?![A-Za-z_0-9#@./:])"
+#: What stands for them, before their number.
+_STRING_MARK, _WHOLE_MARK = "\x01", "\x02"
+#: What a skeleton begins with; no script does.
+_SKELETON = "\x03"
+
+
+def skeleton(script: Column) -> Column:
+    """A script with marks in place of its strings and whole numbers; texts with comments, lists of literals or scripts in
+    strings stay as they are."""
+    bare = F.regexp_replace(F.regexp_replace(script, _STRINGS, f"'{_STRING_MARK}'"), _WHOLE, f"'{_WHOLE_MARK}'")
+    odd = F.contains(script, F.lit("//")) | F.contains(script, F.lit("/*")) | script.rlike(f"(?i)eval|[(,=]\\s*\\{{|[{_STRING_MARK}{_WHOLE_MARK}]")
+    return F.when(odd, F.ltrim(script, F.lit(_SKELETON))).otherwise(F.concat(F.lit(_SKELETON), bare))
+
+
+def skeleton_literals(script: Column) -> Column:
+    """What skeleton() takes out, in order: strings without quotes and escapes, numbers as they are."""
+    found = F.regexp_extract_all(script, F.lit(f"({_STRINGS}|{_WHOLE})"), F.lit(1))
+    bare = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\([\\'])", "$1")
+    return F.transform(found, lambda x: F.when(F.startswith(x, F.lit("'")), bare(x)).otherwise(x))
+
+
 def parse_scripts(rows: DataFrame, types: dict[str, list[str]] | None = None, variables: dict[str, str] | None = None, script: str = "script", prefixes: dict[str, str] | None = None) -> DataFrame:
-    """rows with calls, the facts of their scripts.  Each distinct text is parsed once; texts that do not parse have none."""
+    """rows with calls, the facts of their scripts.  Scripts that differ in literals only are parsed once, as one skeleton whose
+    literals are filled in as columns; texts that do not parse have no calls."""
+    import re
+
     import pyarrow as pa
 
     from logloom.lang import facts as L
     from logloom.lang.syntax import SyntaxFault
 
+    marks = re.compile(f"'([{_STRING_MARK}{_WHOLE_MARK}])'")
+
+    def number(arg: dict) -> dict:
+        """The argument with the type that its mark stands for."""
+        return {**arg, "type": "int"} if (arg["value"] or "").lstrip("-").startswith(_WHOLE_MARK) else arg
+
     def run(batches):
         kind = pa.list_(pa.struct([("pos", pa.int32()), ("node", pa.string()), ("receiver", pa.string()), ("receiver_type", pa.string()), ("supertypes", pa.list_(pa.string())), ("member", pa.string()), ("args", pa.list_(pa.struct([("type", pa.string()), ("value", pa.string()), ("var_name", pa.string()), ("is_out", pa.bool_())])))]))
         for b in batches:
             out = []
             for s in b.column(0).to_pylist():
+                bare, count = s.startswith(_SKELETON), iter(range(len(s)))
                 try:
-                    out.append(L.facts(s, types=types, variables=variables, prefixes=prefixes))
+                    text = marks.sub(lambda m, count=count: f"'{m[1]}{next(count)}'", s[1:]) if bare else s
+                    found = L.facts(text, types=types, variables=variables, prefixes=prefixes)
+                    out.append([{**f, "args": [number(a) for a in f["args"]]} for f in found] if bare else found)
                 except SyntaxFault:
                     out.append(None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["__script", "calls"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["__skeleton", "calls"])
+
+    keyed = rows.withColumn("__skeleton", skeleton(F.col(script)))
+    distinct = keyed.select("__skeleton").where(F.col("__skeleton").isNotNull()).distinct()
+    parsed = distinct.mapInArrow(run, f"__skeleton string, calls array<{L.FACT}>").withColumnRenamed("__skeleton", "__parsed")
+    joined = keyed.join(parsed, keyed["__skeleton"] == parsed["__parsed"], "left").withColumn("__literals", skeleton_literals(F.col(script)))
+
+    def filled(a: Column) -> Column:
+        mark = F.regexp_extract(a["value"], f"^(-?)[{_STRING_MARK}{_WHOLE_MARK}]([0-9]+)$", 2)
+        value = F.concat(F.when(F.startswith(a["value"], F.lit("-")), F.lit("-")).otherwise(F.lit("")), F.get(F.col("__literals"), mark.cast("int")))
+        value = F.when(F.startswith(F.col("__skeleton"), F.lit(_SKELETON)) & a["value"].rlike(f"^-?[{_STRING_MARK}{_WHOLE_MARK}][0-9]+$"), value).otherwise(a["value"])
+        return F.struct(a["type"].alias("type"), value.alias("value"), a["var_name"].alias("var_name"), a["is_out"].alias("is_out"))
 
-    distinct = rows.select(F.col(script).alias("__script")).where(F.col("__script").isNotNull()).distinct()
-    parsed = distinct.mapInArrow(run, f"__script string, calls array<{L.FACT}>")
-    return rows.join(parsed, rows[script] == parsed["__script"], "left").drop("__script")
+    whole = lambda f: F.struct(*[f[n].alias(n) for n in ("pos", "node", "receiver", "receiver_type", "supertypes", "member")], F.transform(f["args"], filled).alias("args"))
+    return joined.withColumn("calls", F.transform("calls", whole)).drop("__skeleton", "__parsed", "__literals")

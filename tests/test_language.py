@@ -68,6 +68,22 @@ def test_statements():
             S.parse_program(bad)
 
 
+def test_skeletons_give_the_facts_of_each_text(spark):
+    texts = [
+        "o.Add(3, 'a b', -5, 2.5, 007, 4m);", "o.Add(4, 'it\\'s', -6, 2.5, 007, 4m);", "x = 1 / 2; y = a[3].b(4);", "o.At(01/02/2024 10:20:30, 5);", "o.At(1/2/2024, 'x');",
+        "// note 5\no.Add(1);", "eval('o.Add(1);');", "o1.Add(2147483647);", "z = c ? 1 : 2; o.Add('\x01');", "o.Add('',0);", "tell Bank(7) Pay(1) id 'k';", "o.Add(1", "x = 'a' + 5 + b5;", None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "entry_id int, script string")
+    got = {r.entry_id: r.calls for r in parse_scripts(df, types={"Order": ["Order"]}, variables={"o": "Order"}).collect()}
+    for i, t in enumerate(texts):
+        try:
+            want = t and L.facts(t, types={"Order": ["Order"]}, variables={"o": "Order"})
+        except S.SyntaxFault:
+            want = None
+        have = got[i] and [{**r.asDict(), "args": [a.asDict() for a in r.args]} for r in got[i]]
+        assert have == want, t
+
+
 def scripts(spark, *texts):
     df = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "entry_id long, script string")
     df = df.withColumn("occurred_at", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("actor", F.lit("")).withColumn("expose", F.lit(None).cast("string"))
