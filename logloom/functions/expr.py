@@ -38,9 +38,23 @@ def type_of(spark_type: str) -> str:
         return f"list<{type_of(spark_type[6:-1])}>"
     if spark_type.startswith("interval"):
         return "timespan"
+    if spark_type.startswith("struct<"):
+        return spark_type
     return FROM_SPARK.get(spark_type, "object")
 
 
+def fields_of(kind: str) -> dict[str, tuple[str, str]]:
+    """Fields of a struct type by their name in lower case: their own name and their type."""
+    out, depth, begin = {}, 0, 7
+    for i in range(7, len(kind)):
+        depth += {"<": 1, "(": 1, ">": -1, ")": -1}.get(kind[i], 0)
+        if (kind[i] == "," and depth == 0) or i == len(kind) - 1:
+            name, _, inner = kind[begin:i].partition(":")
+            out[name.lower()] = (name, type_of(inner))
+            begin = i + 1
+    return out
+
+
 def widest(*kinds: str) -> str:
     known = [k for k in kinds if k != "null"]
     if not known:
@@ -84,6 +98,14 @@ MEMBERS = {
     ("string", "endswith"): (1, "bool", lambda r, x: F.endswith(r, x)),
     ("string", "replace"): (2, "string", lambda r, a, b: F.replace(r, a, b)),
     ("string", "indexof"): (1, "int", lambda r, x: F.call_function("locate", x, r) - 1),
+    ("string", "padleft"): (1, "string", lambda r, n: F.when(F.char_length(r) >= n, r).otherwise(F.call_function("lpad", r, n, F.lit(" ")))),
+    ("string", "padright"): (1, "string", lambda r, n: F.when(F.char_length(r) >= n, r).otherwise(F.call_function("rpad", r, n, F.lit(" ")))),
+    ("string", "trimstart"): (0, "string", lambda r: F.ltrim(r)),
+    ("string", "trimend"): (0, "string", lambda r: F.rtrim(r)),
+    ("string", "insert"): (2, "string", lambda r, n, x: F.concat(F.substring(r, F.lit(1), n), x, F.substring(r, n + 1, F.char_length(r)))),
+    ("string", "remove"): (1, "string", lambda r, n: F.substring(r, F.lit(1), n)),
+    ("string", "split"): (1, "list<string>", lambda r, x: F.call_function("split", r, F.concat(F.lit("\\Q"), x, F.lit("\\E")))),
+    ("string", "lastindexof"): (1, "int", lambda r, x: F.when(F.contains(r, x), F.char_length(r) - F.call_function("locate", F.reverse(x), F.reverse(r)) - F.char_length(x) + 1).otherwise(F.lit(-1))),
     ("datetime", "year"): (None, "int", lambda r: F.year(r)),
     ("datetime", "month"): (None, "int", lambda r: F.month(r)),
     ("datetime", "day"): (None, "int", lambda r: F.dayofmonth(r)),
@@ -93,8 +115,29 @@ MEMBERS = {
     ("datetime", "date"): (None, "datetime", lambda r: F.date_trunc("DAY", r).cast("timestamp_ntz")),
     ("datetime", "adddays"): (1, "datetime", lambda r, n: r + F.make_dt_interval(n)),
     ("datetime", "addhours"): (1, "datetime", lambda r, n: r + F.make_dt_interval(F.lit(0), n)),
+    ("datetime", "addminutes"): (1, "datetime", lambda r, n: r + F.make_dt_interval(F.lit(0), F.lit(0), n)),
+    ("datetime", "addseconds"): (1, "datetime", lambda r, n: r + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n)),
+    ("datetime", "addmonths"): (1, "datetime", lambda r, n: r + F.make_ym_interval(F.lit(0), n)),
+    ("datetime", "addyears"): (1, "datetime", lambda r, n: r + F.make_ym_interval(n)),
+    ("datetime", "dayofyear"): (None, "int", lambda r: F.dayofyear(r)),
+    ("datetime", "dayofweek"): (None, "int", lambda r: F.dayofweek(r) - 1),
     ("timespan", "totalseconds"): (None, "double", lambda r: F.extract(F.lit("DAY"), r) * 86400 + F.extract(F.lit("HOUR"), r) * 3600 + F.extract(F.lit("MINUTE"), r) * 60 + F.extract(F.lit("SECOND"), r).cast("double")),
 }
+#: Members of lists: name -> (arity, result type: "item", "list" or its own, builder).
+LIST_MEMBERS = {
+    "contains": (1, "bool", lambda r, x: F.array_contains(r, x)),
+    "first": (0, "item", lambda r: F.get(r, F.lit(0))),
+    "last": (0, "item", lambda r: F.element_at(r, -1)),
+    "distinct": (0, "list", lambda r: F.array_distinct(r)),
+    "reverse": (0, "list", lambda r: F.reverse(r)),
+    "skip": (1, "list", lambda r, n: F.slice(r, n + 1, F.size(r))),
+    "take": (1, "list", lambda r, n: F.slice(r, F.lit(1), n)),
+    "max": (0, "item", lambda r: F.array_max(r)),
+    "min": (0, "item", lambda r: F.array_min(r)),
+    "sum": (0, "item", lambda r: F.aggregate(r, F.coalesce(F.get(r, F.lit(0)) * 0, F.lit(0)), lambda a, x: a + x)),
+    "concat": (1, "list", lambda r, x: F.concat(r, x)),
+    "indexof": (1, "int", lambda r, x: (F.array_position(r, x) - 1).cast("int")),
+}
 #: Static functions: class.name -> (arity, result type or None for the argument's, builder).
 STATICS = {
     "math.abs": (1, None, lambda x: F.abs(x)),
@@ -103,6 +146,10 @@ STATICS = {
     "math.sqrt": (1, "double", lambda x: F.sqrt(x)),
     "math.pow": (2, "double", lambda a, b: F.pow(a, b)),
     "math.round": (2, "double", lambda x, n: F.call_function("bround", x, n)),
+    "math.truncate": (1, None, lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))),
+    "math.sign": (1, "int", lambda x: F.signum(x).cast("int")),
+    "math.exp": (1, "double", lambda x: F.exp(x)),
+    "math.log": (1, "double", lambda x: F.log(x)),
     "math.max": (2, None, lambda a, b: F.greatest(a, b)),
     "math.min": (2, None, lambda a, b: F.least(a, b)),
     "time.weeks": (1, "timespan", lambda n: F.make_dt_interval(n * 7)),
@@ -234,11 +281,21 @@ class Compiler:
         x = self.typed(base)
         if x.type.startswith("list<") and member.lower() == "count":
             return Typed(F.size(x.col), "int")
+        if x.type.startswith("list<") and args is not None and member.lower() in LIST_MEMBERS:
+            arity, kind, build = LIST_MEMBERS[member.lower()]
+            if arity != len(given):
+                raise TypeFault(f"{member} takes {arity} arguments")
+            inner = x.type[5:-1]
+            values = [g.to(inner) if g.type in RANK and inner in RANK else g.col for g in given]
+            return Typed(build(x.col, *values), {"item": inner, "list": x.type}.get(kind, kind))
         if (x.type, member.lower()) in MEMBERS:
             arity, kind, build = MEMBERS[x.type, member.lower()]
             if (arity is None) != (args is None) or (arity or 0) != len(given):
                 raise TypeFault(f"{member} takes {arity or 'no'} arguments")
             return Typed(build(x.col, *(g.col for g in given)), kind)
+        if args is None and x.type.startswith("struct<") and member.lower() in (fields := fields_of(x.type)):
+            name, kind = fields[member.lower()]
+            return Typed(x.col.getField(name), kind)
         if args is None and x.type == "object":
             return Typed(x.col.getField(member), "object")
         raise TypeFault(f"{x.type} has no member {member}")

@@ -1,17 +1,38 @@
 """Query documents as text columns: JSON, an indented list form, and XML, from the same fields.
 
 A document is a list of fields (name, Typed) and collections (name, array column, item): item(element) gives the fields of
-one element.  Doubles and decimals always have a point in JSON; dates are MM/dd/yyyy, with the time unless it is midnight;
+one element.  Only(condition, part) stands where the condition holds.  Doubles and decimals always have a point in JSON; dates are MM/dd/yyyy, with the time unless it is midnight;
 an empty collection is left out of JSON, is [] in the list form and an empty element in XML.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logloom.functions.expr import Typed, json_number, text
 
+
+
+@dataclass(frozen=True)
+class Only:
+    """A part of a document that is there only where the condition holds."""
+
+    condition: Column
+    part: tuple
+
+
+def _parts(parts):
+    """(condition or None, name, value, item ...) of each part."""
+    return [(p.condition, *p.part) if isinstance(p, Only) else (None, *p) for p in parts]
+
+
+def _when(condition, c: Column) -> Column:
+    return c if condition is None else F.when(condition, c)
+
+
 _BARE = ("int", "long", "double", "decimal", "bool")
 
 
@@ -38,13 +59,13 @@ def _json(v: Typed) -> Column:
 def to_json(*parts: tuple) -> Column:
     """{"a":1,"lines":[{...},...]}"""
     out = []
-    for name, value, *item in parts:
+    for only, name, value, *item in _parts(parts):
         key = F.concat(_escape_json(F.lit(name)), F.lit(":"))
         if item:
             rows = F.array_join(F.transform(value, _item(item[0], to_json)), ",")
-            out.append(F.when(F.size(value) > 0, F.concat(key, F.lit("["), rows, F.lit("]"))))
+            out.append(_when(only, F.when(F.size(value) > 0, F.concat(key, F.lit("["), rows, F.lit("]")))))
         else:
-            out.append(F.concat(key, _json(value)))
+            out.append(_when(only, F.concat(key, _json(value))))
     return F.concat(F.lit("{"), F.concat_ws(",", *out), F.lit("}"))
 
 
@@ -63,12 +84,12 @@ def _plain(v: Typed) -> Column:
 def to_list(*parts: tuple) -> Column:
     """One "name: value" a line; items of collections begin with a dash and are indented."""
     lines = []
-    for name, value, *item in parts:
+    for only, name, value, *item in _parts(parts):
         if item:
             rows = F.array_join(F.transform(value, _item(item[0], _dashed)), "\n")
-            lines.append(F.when(F.size(value) > 0, F.concat(F.lit(f"{name}:\n"), rows)).otherwise(F.lit(f"{name}: []")))
+            lines.append(_when(only, F.when(F.size(value) > 0, F.concat(F.lit(f"{name}:\n"), rows)).otherwise(F.lit(f"{name}: []"))))
         else:
-            lines.append(F.concat(F.lit(f"{name}: "), _plain(value)))
+            lines.append(_when(only, F.concat(F.lit(f"{name}: "), _plain(value))))
     return F.concat_ws("\n", *lines)
 
 
@@ -86,14 +107,15 @@ def to_xml(*parts: tuple, root: str = "root", depth: int = 0) -> Column:
     """Elements named after the fields, indented by two spaces; null is an empty element; items are <item>."""
     pad, inner = "  " * depth, "  " * (depth + 1)
     lines = []
-    for name, value, *item in parts:
+    for only, name, value, *item in _parts(parts):
         empty = F.lit(f"{inner}<{name}/>\n")
+        whole = lambda c, only=only: F.coalesce(_when(only, c), F.lit(""))
         if item:
             rows = F.array_join(F.transform(value, _item(item[0], lambda *p: to_xml(*p, root="item", depth=depth + 2))), "")
-            lines.append(F.when(F.size(value) > 0, F.concat(F.lit(f"{inner}<{name}>\n"), rows, F.lit(f"{inner}</{name}>\n"))).otherwise(empty))
+            lines.append(whole(F.when(F.size(value) > 0, F.concat(F.lit(f"{inner}<{name}>\n"), rows, F.lit(f"{inner}</{name}>\n"))).otherwise(empty)))
         else:
             shown = _xml_text(F.array_join(value.col.cast("array<string>"), ",") if value.type.startswith("list<") else value.col.cast("string") if value.type == "bool" else text(value))
-            lines.append(F.coalesce(F.concat(F.lit(f"{inner}<{name}>"), shown, F.lit(f"</{name}>\n")), empty))
+            lines.append(whole(F.coalesce(F.concat(F.lit(f"{inner}<{name}>"), shown, F.lit(f"</{name}>\n")), empty)))
     return F.concat(F.lit(f"{pad}<{root}>\n"), *lines, F.lit(f"{pad}</{root}>\n"))
 
 

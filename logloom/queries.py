@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import replace
 from datetime import timedelta
@@ -16,28 +15,11 @@ from logloom.functions.render import find_alias, to_json, to_list, to_xml
 from logloom.operators import journal as J
 from logloom.plans.batch import accept_increasing, bindings_digest, detect
 from logloom.plans.reaction import Reaction, reaction
+from logloom.registry import WITH, E, query, shared_folder
 from logloom.sources import journals as S
 from logloom.sources.segments import decode_segments, encode_segments
 from logloom.streaming.operators import counts, detect_stream, sessions
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-#: events as a journal, in SQL: one stream (e) and one for each user (u).
-E = "SELECT event_id + 1 AS entry_id, ts AS occurred_at, user_id, event_type AS member, value, CAST(json_extract(props, '$.k') AS INT) AS k, props FROM events"
-U = f"SELECT row_number() OVER (PARTITION BY user_id ORDER BY entry_id) AS entry_id, occurred_at, user_id, member, value, k FROM ({E})"
-WITH = f"WITH e AS ({E}), u AS ({U})"
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # Scans
 @query(f"{WITH} SELECT entry_id, user_id, member FROM e WHERE entry_id > 5000")
 def scan_after(spark: SparkSession, sf: str) -> DataFrame:
@@ -647,11 +629,6 @@ def registry_lookup(spark, sf):
     return c.join(n, c.c_nationkey == n.n_nationkey, "left").select("c_custkey", "c_nationkey", F.coalesce("r", F.lit(-1)).alias("r"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a new local one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-
-
 # Streams: each runs to the end of what is there, from an empty checkpoint
 def _streamed(spark: SparkSession, sf: str, build) -> DataFrame:
     """What a streaming query over the user journal writes."""

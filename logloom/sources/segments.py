@@ -17,6 +17,7 @@ from datetime import datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KINDS = {0: "SCRIPT", 1: "INVOCATION", 2: "DEFINE"}
 COMPRESSED, ENCRYPTED, TYPE = 0x80, 0x40, 0x3F
@@ -122,6 +123,13 @@ def encode_segments(journal: DataFrame, segment_bytes: int = SEGMENT, compress:
     return rows.mapInArrow(run, "first_id long, content binary")
 
 
+def seek_segments(segments: DataFrame, after: int) -> DataFrame:
+    """Entries behind an id, from segments (first_id, content): only those from the last that begins at or before it are decoded."""
+    start = segments.where(F.col("first_id") <= after + 1).agg(F.coalesce(F.max("first_id"), F.lit(0)).alias("start"))  # one row
+    some = segments.join(F.broadcast(start), F.col("first_id") >= F.col("start")).select("content")
+    return decode_segments(some).where(F.col("entry_id") > after)
+
+
 def write_segments(journal: DataFrame, path: str, segment_bytes: int = SEGMENT, compress: bool = False) -> int:
     """Write segments as files of a folder, one after another, through Hadoop's file system; returns their number."""
     spark, n = journal.sparkSession, 0

@@ -194,3 +194,26 @@ class JournalStore:
         if not known:
             changes["playbill_schema"] = self.spark.createDataFrame([(schema_name, declarations)], self.schema("playbill_schema"))
         return self.commit(append=changes)
+
+    def read_playbill(self, schema_name: str) -> DataFrame:
+        """Audit rows of a schema as its declared columns; an unknown schema is an error."""
+        known = self.read("playbill_schema").where(F.col("schema_name") == schema_name).first()
+        if known is None:
+            raise KeyError(schema_name)
+        rows = self.read("playbill").where(F.col("schema_name") == schema_name)
+        return rows.select("entry_id", F.from_json("params", known["declarations"]).alias("p")).select("entry_id", "p.*")
+
+    def distill_playbill(self) -> int:
+        """Drop audit rows whose entry is no longer in the journal."""
+        return self.commit(replace={"playbill": self.read("playbill").join(self.read("journal").select("entry_id"), "entry_id", "left_semi")})
+
+    def archive_playbill(self, until: int, path: str) -> int:
+        """Move audit rows up to an entry out of the store, to path."""
+        rows = self.read("playbill")
+        rows.where(F.col("entry_id") <= until).write.parquet(path)
+        return self.commit(replace={"playbill": rows.where(F.col("entry_id") > until)})
+
+    def would_skip(self, marks: DataFrame) -> DataFrame:
+        """What marks would newly elide, without a commit: entry_id, reaction_id."""
+        live = self.scan().select("entry_id")
+        return marks.select("entry_id", "reaction_id").distinct().join(live, "entry_id", "left_semi")

@@ -10,13 +10,17 @@ its window.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime, timedelta
-from decimal import ROUND_DOWN, Decimal
+from decimal import Decimal
 
 from logloom.lang import patterns as P
 from logloom.lang import syntax as S
 from logloom.lang.facts import text_of
+from logloom.lang.values import binary as _binary
+from logloom.lang.values import cast as _cast
+from logloom.lang.values import typed
 from logloom.plans.reaction import Reaction
 
 _NUMBERS = ("int", "long", "double", "decimal")
@@ -60,51 +64,6 @@ def evaluate(e, names: dict[str, object]):
     raise TypeError(f"cannot evaluate {e}")
 
 
-def _binary(op: str, a, b):
-    if isinstance(a, Decimal) and isinstance(b, float):
-        b = Decimal(repr(b))
-    if isinstance(b, Decimal) and isinstance(a, float):
-        a = Decimal(repr(a))
-    match op:
-        case "==":
-            return a == b
-        case "!=":
-            return a != b
-        case "+":
-            return f"{'' if a is None else text_of(a)}{'' if b is None else text_of(b)}" if isinstance(a, str) or isinstance(b, str) else a + b
-        case "-":
-            return a - b
-        case "*":
-            return a * b
-        case "/":
-            return int(Decimal(a) / Decimal(b).to_integral_value(ROUND_DOWN)) if isinstance(a, int) and isinstance(b, int) else a / b
-    if a is None or b is None:
-        return False
-    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-
-
-def _cast(kind: str, v):
-    return {"int": int, "long": int, "double": float, "decimal": lambda x: Decimal(str(x)), "string": lambda x: "" if x is None else text_of(x), "bool": bool}.get(kind, lambda x: x)(v)
-
-
-def typed(kind: str | None, value: str | None):
-    """A captured text as a value of its written type."""
-    if value is None or kind is None:
-        return value
-    match kind.lower():
-        case "int" | "long":
-            return int(value)
-        case "double":
-            return float(value)
-        case "decimal":
-            return Decimal(value)
-        case "bool":
-            return value.lower() == "true"
-        case "datetime":
-            return datetime.fromisoformat(value)
-    return value
-
-
 # Patterns over a list of facts
 def _is_type(arg: dict, kind: str) -> bool:
     rank = {"int": 0, "long": 1, "double": 2, "decimal": 3}
@@ -135,15 +94,25 @@ def _param_fits(arg: dict, p: P.Param, fact: dict, facts: list[dict]) -> bool:
 
 
 def fits(f: dict, e: P.Element, facts: list[dict]) -> bool:
-    """Whether a fact fits an element: types, members and arguments (calls, accesses and constructors)."""
+    """Whether a fact fits an element."""
     if e.type and e.type.lower() not in f["supertypes"]:
         return False
-    if e.kind == "type":
-        return f["node"] in ("call", "access")
-    if e.kind == "ctor":
-        return f["node"] == "ctor" and len(f["args"]) == len(e.params) and all(_param_fits(a, P.Param("literal" if p.kind == "literal" else "any", p.value, p.type), f, facts) for a, p in zip(f["args"], e.params, strict=True))
-    if e.kind != "member":
-        raise NotImplementedError(f"{e.kind} patterns are matched in batch plans only")
+    match e.kind:
+        case "type":
+            return f["node"] in ("call", "access")
+        case "ctor":
+            return f["node"] == "ctor" and len(f["args"]) == len(e.params) and all(_param_fits(a, P.Param("literal" if p.kind == "literal" else "any", p.value, p.type), f, facts) for a, p in zip(f["args"], e.params, strict=True))
+        case "assign":
+            if f["node"] != "assign" or (e.name and not e.name.startswith("$") and f["receiver"] is None):
+                return False
+            if isinstance(e.value, P.Param):
+                return _param_fits(f["args"][0], e.value, f, facts)
+            return (f["args"][0]["type"] or "").lower() == e.value.type.lower() and any(g["pos"] < f["pos"] and fits(g, e.value, facts) for g in facts)
+        case "tell":
+            wanted = (*e.params, *([e.ident] if e.ident else []))
+            return f["node"] == "tell" and f["member"] == e.command and len(f["args"]) >= len(wanted) and all(_param_fits(a, p, f, facts) for a, p in zip(f["args"], wanted, strict=False))
+        case "ack":
+            return f["node"] == "ack" and _param_fits(f["args"][0], e.ident, f, facts)
     member, params = e.path[0]
     if params is None:
         ok = f["node"] == "access" and (f["member"] or "").lower() == member.lower() and (e.name in (None, "_") or (f["receiver"] or "").lower() == e.name.lower())
@@ -163,31 +132,62 @@ def _guard(g: P.Guard, got: dict) -> bool:
     return bool(_binary(g.op, a, b))
 
 
-def capture(pattern: P.Pattern, facts: list[dict]) -> dict[str, object] | None:
-    """Captured values of the first branch that matches, or None."""
-    kinds = P.captures(pattern)
+def _caught(fact: dict, e: P.Element, facts: list[dict]) -> dict[str, object]:
+    """What an element takes from the fact that it fits."""
+    got: dict[str, object] = {}
+    params = {"member": e.path[0][1] if e.path else None, "tell": (*(e.params or ()), *([e.ident] if e.ident else [])), "ack": (e.ident,)}.get(e.kind) or ()
+    if e.kind == "member" and e.name not in (None, "_") and e.path[0][1] is not None:
+        got[e.name.lower()] = fact["receiver"]
+    if e.kind == "assign" and e.name:
+        value = fact["args"][0]["value"] if e.name.startswith("$") else None
+        got[e.name.removeprefix("$").lower()] = fact["receiver"] if value is None else value
+    for a, p in zip(fact["args"], params, strict=False):
+        if p.kind == "nested":
+            got |= _caught(next(f for f in facts if f["pos"] > fact["pos"] and fits(f, p.value, facts)), p.value, facts)
+        elif p.kind in ("capture", "name"):
+            got[p.value.lower()] = a["var_name"] if p.kind == "name" else a["value"] if a["value"] is not None else a["var_name"]
+    return got
+
+
+def _exposed(e: P.Element, expose: str | None) -> dict[str, object] | None:
+    """What an expose element takes from exposed JSON, or None if it does not fit."""
+    p = e.params[0]
+    value = (json.loads(expose) if expose else {}).get(e.alias)
+    if value is None:
+        return None
+    shown = text_of(value) if not isinstance(value, dict | list) else json.dumps(value)
+    if p.kind == "literal" and not (Decimal(shown) == Decimal(str(p.value.value)) if p.value.type in _NUMBERS else shown == text_of(p.value.value)):
+        return None
+    try:
+        typed(p.type, shown)
+    except (ArithmeticError, ValueError):
+        return None
+    return {p.value.lower(): shown} if p.kind == "capture" else {}
+
+
+def capture(pattern: P.Pattern, entry: dict) -> dict[str, object] | None:
+    """Captured values of the first branch that an entry (calls, and expose and script if it has them) matches, or None."""
+    kinds, facts = P.captures(pattern), entry["calls"]
     for b in pattern.branches:
         last, got, ok = -1, {}, True
         for e in b.elements:
-            found = next((f for f in facts if (f["pos"] > last or e.kind == "ctor") and fits(f, e, facts)), None)
-            if found is None:
+            if e.kind == "expose":
+                more = _exposed(e, entry.get("expose"))
+            else:
+                anywhere = e.kind in ("ctor", "assign")
+                found = next((f for f in facts if (anywhere or f["pos"] > last) and fits(f, e, facts)), None)
+                more = None if found is None else _caught(found, e, facts)
+                last = last if anywhere or found is None else found["pos"]
+            if more is None:
                 ok = False
                 break
-            if e.kind != "ctor":
-                last = found["pos"]
-            if e.kind == "member":
-                if e.name not in (None, "_") and e.path[0][1] is not None:
-                    got[e.name.lower()] = found["receiver"]
-                for a, p in zip(found["args"], e.path[0][1] or (), strict=False):
-                    if p.kind in ("capture", "name"):
-                        got[p.value.lower()] = a["var_name"] if p.kind == "name" else a["value"] if a["value"] is not None else a["var_name"]
+            got |= more
         if ok:
             out = {n: typed(t, got.get(n)) for n, t in kinds.items()}
             if any(x.label for x in pattern.branches):
                 out["_matchedbranch"] = b.label
-            if all(_guard(g, out) for g in pattern.guards if g.name):
-                return out
-            return None
+            held = lambda g: (g.value in (entry.get("script") or "")) == (g.op == "contains")
+            return out if all(_guard(g, out) if g.name else held(g) for g in pattern.guards) else None
     return None
 
 
@@ -205,7 +205,7 @@ class Level:
             return self.finder(entry)
         out: dict = {}
         for p in self.patterns:
-            if (got := capture(p, entry["calls"])) is None:
+            if (got := capture(p, entry)) is None:
                 return None
             out |= {k: v for k, v in got.items() if k not in out}
         return out

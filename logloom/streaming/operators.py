@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType, _parse_datatype_string
 
+from logloom.functions.match import match
 from logloom.plans.reaction import Reaction
 from logloom.streaming.engine import Matcher
 
@@ -37,7 +39,7 @@ def detect_stream(spec: Reaction, stream: DataFrame) -> DataFrame:
         found = []
         for r in rows.itertuples(index=False):
             calls = [_plain(c) for c in r.calls]
-            for m in matcher.take({"entry_id": int(r.entry_id), "occurred_at": r.occurred_at.to_pydatetime() if hasattr(r.occurred_at, "to_pydatetime") else r.occurred_at, "calls": calls}):
+            for m in matcher.take({"entry_id": int(r.entry_id), "occurred_at": r.occurred_at.to_pydatetime() if hasattr(r.occurred_at, "to_pydatetime") else r.occurred_at, "calls": calls, **{c: getattr(r, c) for c in ("expose", "script") if hasattr(r, c)}}):
                 names = {k: v for k, v in m.items() if k not in ("levels", "chain", "trigger_entry_id", "trigger_at")}
                 found.append((key[0], ",".join(map(str, m["levels"])), ",".join(map(str, m["chain"])), m["trigger_entry_id"], m["trigger_at"], ";".join(f"{k}={v}" for k, v in sorted(names.items()))))
         state.update((pickle.dumps(matcher.state()),))
@@ -80,3 +82,26 @@ def replicate(stream: DataFrame, append: Callable[[DataFrame, int], None], check
     once: read what is there and stop (a job); otherwise go on polling (a cue)."""
     writer = stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a follower does: then(rows, batch number) is called with the rows of a micro-batch that match, if there are any.
+
+    A batch may come again after a crash, with the same number, so then() must be able to repeat itself."""
+
+    name: str
+    pattern: str
+    then: Callable[[DataFrame, int], None]
+
+
+def follow(stream: DataFrame, rules: list[Rule], checkpoint: str, once: bool = True):
+    """A streaming query that calls each rule with what it matches; its checkpoint is the follower's place in the journal."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        for rule in rules:
+            found = match(batch, rule.pattern)
+            if not found.isEmpty():
+                rule.then(found, number)
+
+    return replicate(stream, each, checkpoint, once)
