@@ -17,7 +17,7 @@ _ENTRY = "actor string, entry_id long, document string, exposed string, diagnost
 _SYMBOL = "actor string, symbol string, static_type string, runtime_type string, value string"
 
 
-def _stream(journal: DataFrame, classes, functions, setup, emit: str, schema: str) -> DataFrame:
+def _stream(journal: DataFrame, classes, functions, setup, notation, emit: str, schema: str) -> DataFrame:
     """journal: actor, entry_id, occurred_at, script; a DEFINE's script is its definition; an INVOCATION has action_id and
     arguments (literals with commas between) instead."""
     import pyarrow as pa
@@ -40,7 +40,7 @@ def _stream(journal: DataFrame, classes, functions, setup, emit: str, schema: st
             if text not in parsed:
                 if len(parsed) > PARSED:
                     parsed.clear()
-                parsed[text] = S.parse_program(text)
+                parsed[text] = S.parse_program(notation(text) if notation else text)
             return parsed[text]
 
         def one(script, action, arguments, define, at):
@@ -80,15 +80,37 @@ def _stream(journal: DataFrame, classes, functions, setup, emit: str, schema: st
     return needed.repartition("actor").sortWithinPartitions("actor", "entry_id").mapInArrow(run, schema)
 
 
-def run_entries(journal: DataFrame, classes: dict[str, type] | None = None, functions: dict[str, Callable] | None = None, setup: str = "") -> DataFrame:
+def run_entries(journal: DataFrame, classes: dict[str, type] | None = None, functions: dict[str, Callable] | None = None, setup: str = "", notation: Callable[[str], str] | None = None) -> DataFrame:
     """actor, entry_id, document (JSON of what the entry prints), exposed (JSON or null), diagnostics, error: a row for each
-    entry, run on the state that the entries before it left.  setup: a program that each actor runs first."""
-    return _stream(journal, classes, functions, setup, "entries", _ENTRY)
+    entry, run on the state that the entries before it left.  setup: a program that each actor runs first.  notation: turns what
+    entries are written in into the script language."""
+    return _stream(journal, classes, functions, setup, notation, "entries", _ENTRY)
 
 
-def show_symbols(journal: DataFrame, classes: dict[str, type] | None = None, functions: dict[str, Callable] | None = None, setup: str = "") -> DataFrame:
+def show_symbols(journal: DataFrame, classes: dict[str, type] | None = None, functions: dict[str, Callable] | None = None, setup: str = "", notation: Callable[[str], str] | None = None) -> DataFrame:
     """The globals of each actor after replay: actor, symbol, static_type (of its first value), runtime_type, value."""
-    return _stream(journal, classes, functions, setup, "symbols", _SYMBOL)
+    return _stream(journal, classes, functions, setup, notation, "symbols", _SYMBOL)
+
+
+def canonical(rows: DataFrame, column: str, name: str = "canonical") -> DataFrame:
+    """rows with the canonical text of a script column, null where it is no text of the language.  Each distinct text is read once."""
+    import pyarrow as pa
+
+    from logloom.lang import syntax as S
+
+    def one(text: str) -> str | None:
+        try:
+            S.parse_program(text)
+            return S.canonical(text)
+        except S.SyntaxFault:
+            return None
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in b.column(0).to_pylist()], pa.string())], ["__text", name])
+
+    found = rows.select(F.col(column).alias("__text")).where(F.col(column).isNotNull()).distinct().mapInArrow(run, f"__text string, `{name}` string")
+    return rows.join(found, rows[column] == found["__text"], "left").drop("__text")
 
 
 # Introspection

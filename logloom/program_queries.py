@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,6 +167,28 @@ def replay_actions(spark, sf):
     return both.join(actions(spark, sf).where("define_text IS NOT NULL").select("actor"), "actor", "left_semi")
 
 
+@query(f"""{WITH}, t AS (SELECT 'define action 7(p : int) as total = total + p * ' || (k % 5) || '; total.Add(' || (k % 5) || ', p); end;' AS canonical FROM e) SELECT canonical, count(*) AS n FROM t GROUP BY 1""")
+def canonical_bodies(spark, sf):
+    """Definitions that differ in spaces and comments only are one."""
+    k, odd = F.col("k") % 5, F.col("entry_id") % 3
+    space = F.when(odd == 0, F.lit("  ")).when(odd == 1, F.lit(" // no matter\n")).otherwise(F.lit("\n\t/* this */ "))
+    text = F.concat(F.lit("define action 7 (p:int) as"), space, F.lit("total=total+p*"), k, F.lit(";"), space, F.lit("total . Add("), k, F.lit(",p) ;"), space, F.lit("end;"))
+    return R.canonical(S.entries(spark, sf).select(text.alias("define_text")), "define_text").groupBy("canonical").agg(F.count("*").alias("n"))
+
+
+def _in_words(text: str) -> str:
+    """'let x' and 'add 5 to x' as scripts."""
+    w = text.split()
+    return f"{w[1]} = 0;" if w[0] == "let" else f"{w[3]} = {w[3]} + {w[1]};"
+
+
+@query(f"{WITH} SELECT user_id::VARCHAR AS actor, CAST(sum(k) AS VARCHAR) AS value FROM e GROUP BY user_id")
+def replay_notation(spark, sf):
+    """Entries in another notation, which a function turns into scripts."""
+    rows = S.user_entries(spark, sf).select("actor", "entry_id", "occurred_at", F.concat(F.lit("add "), F.col("k"), F.lit(" to total")).alias("script"))
+    return R.show_symbols(rows, setup="let total", notation=_in_words).select("actor", "value")
+
+
 # Patterns over scripts
 def commands(spark: SparkSession, sf: str) -> DataFrame:
     """events as scripts of many forms, parsed to facts."""
@@ -259,7 +282,7 @@ def show_reactions(spark, sf):
 SELECT l0, string_agg(x::VARCHAR, ',' ORDER BY x) AS ids FROM p WHERE r <= 2 GROUP BY l0 HAVING count(*) = 2""")
 def accumulate_name(spark, sf):
     r = reaction("errors").seek("[User].signup($u1:long, _, _)").then_final_seek("[User].error($u2:long, _, _)").where("u1 == u2").many(2).within(3000).accumulate("found")
-    return detect(r, S.journal(spark, sf)).select(F.element_at("levels", 1).alias("l0"), F.array_join("found", ",").alias("ids"))
+    return detect(replace(r, stale_after=None), S.journal(spark, sf)).select(F.element_at("levels", 1).alias("l0"), F.array_join("found", ",").alias("ids"))
 
 
 # The store

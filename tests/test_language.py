@@ -216,3 +216,10 @@ def test_pattern_on_scripts_of_any_user_id(spark, tmp_path):
     events = events.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("value", F.lit(1.0)).withColumn("props", F.lit('{"k": 1}'))
     events.write.parquet(f"{tmp_path}/events.parquet")
     assert sorted(r.user_id for r in queries.pattern_on_scripts(spark, str(tmp_path)).collect()) == [0, 4999, 5000, 14999, 10**12]
+
+
+def test_canonical_texts():
+    one = "if (a.b(1, 'x  y') > -2) { c = {1, 2}; } // end"
+    two = "if(a . b( 1,'x  y' )> -2)\n{c={1,2};}/* z */"
+    assert S.canonical(one) == S.canonical(two) == "if (a.b(1, 'x  y') > - 2) { c = { 1, 2 }; }"
+    assert S.parse_program(S.canonical(one)) == S.parse_program(one) and S.canonical(S.canonical(one)) == S.canonical(one)
