@@ -1,5 +1,6 @@
 """Shared helpers: tables in the cluster's shared folder, byte-wise text rules, clash-free column names."""
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,12 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a new one, set for this session, only where that is unset."""
+    """The folder that spark.checkpoint.dir names; where that is unset and all of Spark is one process (tests), a new one that
+    is set for this session.  A cluster without the setting has no folder that all its machines see: an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder there that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -76,3 +80,25 @@ def sent_or_dealt(table: DataFrame, size: Column) -> DataFrame:
     """table, marked to be sent to every task if the sum of size (bytes of a row) says that it is small; a larger one is
     left to a join that deals both sides."""
     return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
+#: Bits of a key filter, and of each of its pieces.
+FILTER_BITS, PIECE_BITS = 1 << 27, 1 << 15
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS).cast("long"))
+    return (at / PIECE_BITS).cast("int"), at % PIECE_BITS
+
+
+def may_be_in(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
+    """df with flag: false only where key is surely not among keys (which has a column of that name).
+
+    The filter sent to the tasks has FILTER_BITS bits (16 MB) at most.  Past some hundred million keys it fills up and more
+    rows than needed are flagged; none is missed."""
+    piece, bits = free_name(df, "_piece"), free_name(df, "_bits")
+    number, at = _place(F.col(key))
+    pieces = keys.select(number.alias(piece), at.alias("at")).groupBy(piece).agg(F.bitmap_construct_agg("at").alias(bits))
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return df.withColumn(piece, number).join(F.broadcast(pieces), piece, "left").withColumn(flag, hit).drop(piece, bits)

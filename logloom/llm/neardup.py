@@ -55,12 +55,25 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def running(values: np.ndarray) -> np.ndarray:
+    """Running sums of symbols' hashes, from which between() hashes any range."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values) + 1)[0][:-1], out=total[1:])
+    return total
+
+
+def between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of symbols[start:end] for each pair."""
+    return mix((total[ends] - total[starts]) * powers(len(total))[1][starts])
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    return mix(np.arange(256, dtype=np.uint64) + _BASE)[data]
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each pair, from one running sum."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((mix(np.arange(256, dtype=np.uint64) + _BASE))[data] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    """A 64-bit hash of data[start:end] (bytes) for each pair, from one running sum."""
+    return between(running(byte_values(data)), starts, ends)
 
 
 def _segments(texts: list[bytes | None]):

@@ -174,6 +174,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", n_bytes.alias("n_bytes"), (n_bytes - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, p: n + p["end"] - p["start"]).alias("n_shared_words"),
     ).hint("rebalance")
 
 

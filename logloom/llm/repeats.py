@@ -2,7 +2,7 @@
 
 A string of LENGTH bytes that also starts elsewhere goes, in every place.  The text is never sorted as a whole:
 
-1. Every window of LENGTH bytes names an anchor: the least hash of the CORE-byte strings in it (winnowing), which only its
+1. Every window of LENGTH bytes names an anchor: the least hash of the core strings in it (winnowing), which only its
    content decides, so equal windows name equal anchors at equal offsets.  A run is the windows of one place with one anchor.
    Runs whose core occurs once in the corpus hold no repeat.  Runs that are equal as a whole are one class; a class of two
    or more is a repeat.
@@ -16,9 +16,15 @@ A string of LENGTH bytes that also starts elsewhere goes, in every place.  The t
 Groups of more than SPLIT different blocks are not given to one task: their windows are counted one by one, summed before
 they move.
 
-Defined results: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows are repeats of each other; rows
-with null or equal ids are told apart by their texts; an empty table gives no rows; extra columns pass through unless they
-bear an output's name.
+Passages of WORDS words (runs of other bytes than white space, A-Z lower-cased) that another document holds too are
+reported beside, not removed: the first step with words for bytes; at the ends of passages the hashes of single windows are
+compared, core by core.
+
+Texts move only where a filter of bounded size says that something was found for them; the others stay where they are read.
+
+Defined results: null texts are empty; texts shorter than LENGTH lose nothing; repeated rows are repeats of each other, and
+other documents to each other; rows with null or equal ids are told apart by their texts; an empty table gives no rows;
+extra columns pass through unless they bear an output's name.
 """
 
 import hashlib
@@ -28,15 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, free_name, sent_or_dealt
-from logloom.llm.neardup import _sliced, mix, range_hashes
+from logloom.llm.common import LOWER_BYTES, Scratch, free_name, may_be_in
+from logloom.llm.neardup import _sliced, between, byte_values, mix, powers, range_hashes, running
 
 LENGTH, SPREAD, BLOCK, SPLIT = 400, 192, 16, 4096
-#: Bytes hashed at once; positions in them fit the low bits of a key.
+#: Words of a passage, and cores in one.
+WORDS, WORD_SPREAD = 50, 40
+#: Symbols hashed at once; positions in them fit the low bits of a key.
 CHUNK_BITS = 20
 #: Symbols of one suffix array.
 STRING = 1 << 17
-OURS = ("spans", "kept")
+OURS = ("spans", "kept", "passages")
+#: A-Z lower-cased, white space as a space.
+_SPACED = bytes(32 if 9 <= b <= 13 else b for b in LOWER_BYTES)
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -130,25 +140,60 @@ def repeated_windows(blocks: list[tuple[int, bytes, bytes]], block: int = BLOCK)
     return [[k for k in range(len(left) + 1) if block - 1 - k <= len(right) and twice[a + len(left) - k]] for a, (_, left, right) in zip(at, blocks, strict=True)]
 
 
-def runs(data: np.ndarray, edges: np.ndarray, length: int, spread: int):
-    """For texts data[edges[k]:edges[k + 1]] in a row: text number, anchor, first and last start, core hash, hash of all
-    bytes of the run.  Positions are those in data, of fewer than 2**CHUNK_BITS bytes."""
+def word_values(texts: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit hash of each word, text by text."""
+    most = 1 << CHUNK_BITS
+    who, held, size = [], [], 0
+    numbers, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+    def flush():
+        nonlocal who, held, size
+        data = np.frombuffer(b"\n".join(held) + b"\n", np.uint8)
+        gap = (data == 32) | (data == 10)
+        starts = np.nonzero(~gap & np.concatenate([[True], gap[:-1]]))[0]
+        ends = np.nonzero(gap & ~np.concatenate([[True], gap[:-1]]))[0]
+        numbers.append(np.array(who)[np.searchsorted(np.nonzero(data == 10)[0], starts)])
+        values.append(range_hashes(data, starts, ends))
+        who, held, size = [], [], 0
+
+    for k, t in enumerate(texts):
+        t, begin = t.translate(_SPACED), 0
+        while begin < len(t):
+            end = len(t)
+            if end - begin > most:  # cut at a space
+                end = t.rfind(b" ", begin, begin + most) + 1 or t.find(b" ", begin) + 1 or len(t)
+            who.append(k)
+            held.append(t[begin:end])
+            size += end - begin
+            begin = end
+            if size > most:
+                flush()
+    if held:
+        flush()
+    counts = np.bincount(np.concatenate(numbers), minlength=len(texts))
+    return np.split(np.concatenate(values), np.cumsum(counts)[:-1]) if texts else []
+
+
+def runs(values: np.ndarray, edges: np.ndarray, length: int, spread: int):
+    """For texts values[edges[k]:edges[k + 1]] (hashes of symbols) in a row: text number, anchor, first and last start, core
+    hash, hash of all symbols of the run.  Positions are those in values, of fewer than 2**CHUNK_BITS symbols."""
     core = length - spread + 1
-    n = len(data) - core + 1
+    n = len(values) - core + 1
     none = np.zeros(0, np.int64)
-    if len(data) < length:
+    if len(values) < length:
         return none, none, none, none, none, none
-    h = range_hashes(data, np.arange(n), np.arange(core, core + n))
+    total = running(values)
+    h = mix((total[core:] - total[:-core]) * powers(n)[1])
     low = np.uint64((1 << CHUNK_BITS) - 1)
     key = np.full(-(-n // spread) * spread + spread, ~np.uint64(0))
     key[:n] = (h & ~low) | np.arange(n, dtype=np.uint64)
     grid = key.reshape(-1, spread)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(len(data) - length + 1)
-    text = np.searchsorted(edges, starts, "right") - 1
-    valid = starts + length <= edges[text + 1]
-    starts, text = starts[valid], text[valid]
+    sizes = np.diff(edges)
+    starts, text = np.arange(len(values) - length + 1), np.repeat(np.arange(len(sizes)), sizes)
+    valid = starts + length <= np.repeat(edges[1:], sizes)[: len(starts)]
+    starts, text = starts[valid], text[: len(starts)][valid]
     if not len(starts):
         return none, none, none, none, none, none
     anchor = (np.minimum(back[starts], ahead[starts + spread - 1]) & low).astype(np.int64)
@@ -156,7 +201,7 @@ def runs(data: np.ndarray, edges: np.ndarray, length: int, spread: int):
     first = np.nonzero(new)[0]
     last = np.concatenate([first[1:], [len(starts)]]) - 1
     a, i0, i1 = anchor[first], starts[first], starts[last]
-    whole = mix(range_hashes(data, i0, i1 + length) ^ (a - i0).astype(np.uint64))
+    whole = mix(between(total, i0, i1 + length) ^ (a - i0).astype(np.uint64))
     return text[first], a, i0, i1, h[a].view(np.int64), whole.view(np.int64)
 
 
@@ -164,8 +209,8 @@ def _texts(column) -> list[bytes]:
     return [t.as_py() or b"" for t in column]
 
 
-def _chunks(texts: list[bytes], length: int):
-    """(numbers of texts, offsets of the pieces in them, pieces): together under 2**CHUNK_BITS bytes; long texts in pieces
+def _chunks(texts: list, length: int):
+    """(numbers of texts, offsets of the pieces in them, pieces): together under 2**CHUNK_BITS symbols; long texts in pieces
     that overlap by length - 1."""
     who, where, pieces, size, most = [], [], [], 0, (1 << CHUNK_BITS) - 1
     for k, t in enumerate(texts):
@@ -183,41 +228,61 @@ def _chunks(texts: list[bytes], length: int):
         yield who, where, pieces
 
 
-_RUN = "core long, whole long, tk binary, a long, i0 long, i1 long"
+_RUN = ["core", "whole", "words", "row", "tk", "a", "i0", "i1"]
+
 
+def _all_runs(docs: DataFrame, sizes: tuple) -> DataFrame:
+    """docs: raw, tk, row.  Runs of bytes and (words is true) of words; cores of the two never meet."""
 
-def _all_runs(docs: DataFrame, length: int, spread: int) -> DataFrame:
     def run(batches):
         for b in _sliced(batches, 0):
-            texts = _texts(b.column(0))
-            keys = [hashlib.sha256(t).digest()[:16] for t in texts]
-            for who, where, pieces in _chunks(texts, length):
-                edges = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-                text, a, i0, i1, core, whole = runs(np.frombuffer(b"".join(pieces), np.uint8), edges, length, spread)
-                shift = (np.array(where) - edges[:-1])[text]
-                tk = pa.array([keys[who[k]] for k in text.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(whole), tk, *(pa.array(x + shift) for x in (a, i0, i1))], ["core", "whole", "tk", "a", "i0", "i1"])
-
-    return docs.select("raw").where(F.length("raw") >= length).mapInArrow(run, _RUN)
-
-
-def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
-    """texts: raw, some (array of runs).  A row for each block of each run: core, part (hash of the shared bytes and block
-    number), whole, number, left, right, n."""
-    fields = ["core", "part", "whole", "number", "left", "right", "n"]
+            texts, keys, rows = _texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()
+            for words, (length, spread, *_) in enumerate(sizes):
+                symbols = word_values(texts) if words else texts
+                for who, where, pieces in _chunks(symbols, length):
+                    edges = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+                    values = np.concatenate(pieces) if words else byte_values(np.frombuffer(b"".join(pieces), np.uint8))
+                    text, a, i0, i1, core, whole = runs(values, edges, length, spread)
+                    if words:
+                        core = mix(core.view(np.uint64) ^ np.uint64(1)).view(np.int64)
+                    shift = (np.array(where) - edges[:-1])[text]
+                    mine = [who[k] for k in text.tolist()]
+                    columns = [pa.array(core), pa.array(whole), pa.array(np.full(len(core), bool(words))), pa.array([rows[k] for k in mine], pa.int64()), pa.array([keys[k] for k in mine], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x + shift) for x in (a, i0, i1))], _RUN)
+
+    long_enough = F.length("raw") >= min(sizes[0][0], 2 * sizes[1][0] - 1)
+    return docs.select("raw", "tk", "row").where(long_enough).mapInArrow(run, "core long, whole long, words boolean, row long, tk binary, a long, i0 long, i1 long")
+
+
+_BLOCK = ["core", "part", "whole", "words", "number", "left", "right", "n", "row"]
+
+
+def _blocks(texts: DataFrame, sizes: tuple) -> DataFrame:
+    """texts: raw, some (array of runs).  A row for each block of each run of bytes: core, part (hash of the shared bytes and
+    block number), whole, number, left, right, n, row.  A run of words is one such row, whose shared part is its core; left
+    and right hold four bytes for each word."""
+    (length, _, block), (n_words, word_spread) = sizes
+    core_words = n_words - word_spread + 1
 
     def run(batches):
         for b in _sliced(batches, 0):
             out = []
-            for t, found in zip(_texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                for r in found:
-                    for number in range((r["a"] - r["i1"]) // block, (r["a"] - r["i0"]) // block + 1):
-                        last = r["a"] - block * number  # the block's nominal last start
+            texts, wanted = _texts(b.column(0)), b.column(1).to_pylist()
+            values = word_values([t if any(r["words"] for r in some) else b"" for t, some in zip(texts, wanted, strict=True)])
+            for t, v, some in zip(texts, values, wanted, strict=True):
+                v = v.astype("<u4")
+                for r in some:
+                    a, i0, i1 = r["a"], r["i0"], r["i1"]
+                    if r["words"]:
+                        out.append((r["core"], 0, r["whole"], True, 0, v[i0:a].tobytes(), v[a + core_words : i1 + n_words].tobytes(), r["n"], r["row"]))
+                        continue
+                    for number in range((a - i1) // block, (a - i0) // block + 1):
+                        last = a - block * number  # the block's nominal last start
                         shared = t[last : last - block + 1 + length]
                         part = hashlib.blake2b(shared, digest_size=8, salt=number.to_bytes(8, "little")).digest()
-                        left = t[max(r["i0"], last - block + 1) : last]
-                        right = t[last - block + 1 + length : min(r["i1"], last) + length]
-                        out.append((r["core"], int.from_bytes(part, "little", signed=True), r["whole"], number, left, right, r["n"]))
+                        left = t[max(i0, last - block + 1) : last]
+                        right = t[last - block + 1 + length : min(i1, last) + length]
+                        out.append((r["core"], int.from_bytes(part, "little", signed=True), r["whole"], False, number, left, right, r["n"], r["row"]))
                 if len(out) > 20000:
                     yield batch(out)
                     out = []
@@ -225,10 +290,67 @@ def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
                 yield batch(out)
 
     def batch(rows):
-        kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], fields)
+        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64()] + [pa.binary()] * 2 + [pa.int64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _BLOCK)
+
+    return texts.select("raw", "some").mapInArrow(run, "core long, part long, whole long, words boolean, number long, left binary, right binary, n long, row long")
+
+
+def window_hashes(left: bytes, right: bytes, spread: int) -> tuple[int, np.ndarray]:
+    """Hashes of the windows of a run of words, by how many words of left they take: the least number, and the hashes from it on."""
+    x, y = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
+    least = max(0, spread - 1 - len(y))
+    takes = np.arange(least, len(x) + 1)
+    total = running(mix(np.concatenate([x, np.zeros(1, "<u4"), y]).astype(np.uint64) + np.uint64(1)))
+    return least, between(total, len(x) - takes, len(x) - takes + spread) ^ mix(takes.astype(np.uint64))
 
-    return texts.select("raw", "some").mapInArrow(run, "core long, part long, whole long, number long, left binary, right binary, n long")
+
+def _judge_words(runs_: DataFrame, spread: int) -> DataFrame:
+    """core, whole, takes: windows that are in runs of two documents; the runs of a core are in one task."""
+
+    def run(batches):
+        now, held, out = None, [], []
+
+        def judge():
+            seen: dict[int, int] = {}
+            for _, _, hashes, n, row in held:
+                for h in hashes:
+                    seen[h] = -1 if n > 1 or seen.get(h, row) != row else row
+            out.extend((now, whole, least + k) for whole, least, hashes, _, _ in held for k, h in enumerate(hashes) if seen[h] < 0)
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["core", "whole", "takes"])
+
+        for b in batches:
+            for core, whole, left, right, n, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if core != now:
+                    judge()
+                    now, held = core, []
+                least, hashes = window_hashes(left, right, spread)
+                held.append((whole, least, hashes.tolist(), n, row))
+            if len(out) > 20000:
+                yield batch()
+                out = []
+        judge()
+        yield batch()
+
+    return runs_.repartition("core").sortWithinPartitions("core").mapInArrow(run, "core long, whole long, takes long")
+
+
+def _count_words(runs_: DataFrame, spread: int) -> DataFrame:
+    """The same for cores of many runs: each window on its own, counted."""
+
+    def run(batches):
+        for b in batches:
+            for core, whole, left, right, n, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                least, hashes = window_hashes(left, right, spread)
+                size = len(hashes)
+                columns = [np.full(size, core), np.full(size, whole), np.arange(least, least + size), hashes.view(np.int64), np.full(size, n), np.full(size, row)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["core", "whole", "takes", "h", "n", "row"])
+
+    each = runs_.mapInArrow(run, "core long, whole long, takes long, h long, n long, row long")
+    twice = each.groupBy("core", "h").agg(((F.min("row") != F.max("row")) | (F.max("n") > 1)).alias("twice")).where("twice").select("core", "h")
+    return each.join(twice, ["core", "h"], "left_semi").select("core", "whole", "takes")
 
 
 def _judge_blocks(blocks: DataFrame, block: int) -> DataFrame:
@@ -270,41 +392,58 @@ def _count_windows(blocks: DataFrame, block: int) -> DataFrame:
     return keyed.join(twice, ["core", "part", "takes", "l", "r"], "left_semi").select("core", "part", "left", "right", "takes")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, spread: int = SPREAD, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
-    """docs: raw (bytes), tk (their 16-byte key).  tk, spans: unsorted (start, end) of repeated bytes, one row for each text with any."""
-    all_runs = scratch.table(_all_runs(docs, length, spread), "runs")
+def repeated_spans(docs: DataFrame, scratch: Scratch, sizes: tuple, split: int = SPLIT) -> DataFrame:
+    """docs: raw (bytes), tk (their 16-byte key), row (their own number); sizes: length, spread and block for bytes, length and spread for words.
+
+    tk, spans, passages: unsorted (start, end) of repeated bytes and of shared words; a row for each text with any."""
+    length, block, spread = F.when(F.col("words"), sizes[1][0]).otherwise(sizes[0][0]), sizes[0][2], sizes[1][1]
+    apart = F.min("row") != F.max("row")  # in two documents
+    all_runs = scratch.table(_all_runs(docs, sizes), "runs")
     # A table of its own: a join of two shuffles is split where one core has many rows.
-    cores = scratch.table(all_runs.groupBy("core").agg(F.count("*").alias("c")).where("c > 1").select("core"), "cores")
+    cores = all_runs.groupBy("core").agg(F.count("*").alias("c"), (F.max("words") & ~apart).alias("alone")).where("c > 1 AND NOT alone")
+    cores = scratch.table(cores.select("core"), "cores")
     again = scratch.table(all_runs.join(cores, "core", "left_semi"), "again")
     scratch.drop("runs")
-    classes = again.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(F.struct("tk", "a", "i0", "i1")).alias("one"))
+    classes = again.groupBy("core", "whole", "words").agg(F.when(F.col("words"), F.when(apart, 2).otherwise(1)).otherwise(F.count("*")).cast("long").alias("n"), F.min(F.struct("tk", "a", "i0", "i1", "row")).alias("one"))
     classes = scratch.table(classes, "classes")
     # Classes that can share single windows with another class of their core; those of one run are to be judged.
     mixed = classes.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("core")
     open_ = classes.join(mixed, "core", "left_semi")
-    wanted = open_.groupBy("one.tk").agg(F.collect_list(F.struct("core", "whole", F.col("one.a").alias("a"), F.col("one.i0").alias("i0"), F.col("one.i1").alias("i1"), "n")).alias("some"))
+    wanted = open_.groupBy("one.tk").agg(F.collect_list(F.struct("core", "whole", "words", *[F.col(f"one.{c}").alias(c) for c in ("a", "i0", "i1", "row")], "n")).alias("some"))
     wanted = scratch.table(wanted, "wanted")
-    texts = docs.join(sent_or_dealt(wanted, 64 + 48 * F.size("some")), "tk")
-    blocks = scratch.table(_blocks(texts, length, block).dropDuplicates(["core", "whole", "number"]), "blocks")
-    kinds = scratch.table(blocks.groupBy("core", "part", "left", "right").agg(F.sum("n").alias("n")), "kinds")
+    texts = may_be_in(docs.select("raw", "tk"), "tk", wanted.select("tk"), "hit").where("hit").join(wanted, "tk")
+    blocks = scratch.table(_blocks(texts, sizes).dropDuplicates(["core", "whole", "number"]), "blocks")
+    key = ["core", "part", "left", "right"]
+    kinds = scratch.table(blocks.where("NOT words").groupBy(*key).agg(F.sum("n").alias("n")), "kinds")
     groups = kinds.groupBy("core", "part").agg(F.count("*").alias("k"), F.min("n").alias("least"))
     several = groups.where("k > 1 AND least = 1")
     small = kinds.join(several.where(F.col("k") <= split).select("core", "part"), ["core", "part"], "left_semi")
     large = kinds.join(several.where(F.col("k") > split).select("core", "part"), ["core", "part"], "left_semi")
     takes = scratch.table(_judge_blocks(small, block).union(_count_windows(large, block)), "takes")
-    key = ["core", "part", "left", "right"]
+    word_runs = blocks.where("words").select("core", "whole", "left", "right", "n", "row")
+    many = word_runs.groupBy("core").agg(F.count("*").alias("k")).where(F.col("k") > split).select("core")
+    word_takes = _judge_words(word_runs.join(many, "core", "left_anti"), spread).union(_count_words(word_runs.join(many, "core", "left_semi"), spread))
+    word_takes = word_takes.select("core", "whole", F.col("takes").alias("far"), F.col("takes").alias("near"))
     # First and last start of what is repeated, before the anchor: o = a - start.
-    whole_blocks = blocks.join(kinds.where("n > 1").select(*key), key, "left_semi").select(
+    whole_blocks = blocks.where("NOT words").join(kinds.where("n > 1").select(*key), key, "left_semi").select(
         "core", "whole", (F.col("number") * block + F.length("left")).alias("far"), (F.col("number") * block).alias("near"))
-    single = blocks.join(takes, key).select("core", "whole", (F.col("number") * block + F.col("takes")).alias("far"), (F.col("number") * block + F.col("takes")).alias("near"))
-    marks = whole_blocks.union(single).groupBy("core", "whole").agg(F.collect_set(F.struct("far", "near")).alias("marks"))
+    at = F.col("number") * block + F.col("takes")
+    single = blocks.where("NOT words").join(takes, key).select("core", "whole", at.alias("far"), at.alias("near"))
+    marks = whole_blocks.union(single).union(word_takes).groupBy("core", "whole").agg(F.collect_set(F.struct("far", "near")).alias("marks"))
     full = classes.where("n > 1").select("core", "whole", F.lit(True).alias("all"))
     marks = scratch.table(marks.join(full, ["core", "whole"], "full"), "marks")
+    for done in ("classes", "wanted", "blocks", "kinds", "takes", "cores"):
+        scratch.drop(done)
     hit = again.join(marks, ["core", "whole"])
     # near is the block's nominal last start; a run may end before it.
     starts = F.when(F.col("all"), F.array(F.struct(F.col("i0").alias("s"), (F.col("i1") + length).alias("e")))).otherwise(
         F.transform("marks", lambda m: F.struct((F.col("a") - m["far"]).alias("s"), (F.least(F.col("i1"), F.col("a") - m["near"]) + length).alias("e"))))
-    return scratch.table(hit.select("tk", F.explode(starts).alias("x")).groupBy("tk").agg(F.collect_set("x").alias("spans")), "spans")
+    each = hit.select("tk", "words", F.explode(starts).alias("x")).groupBy("tk")
+    spans = each.agg(*[F.collect_set(F.when(F.col("words") == w, F.col("x"))).alias(c) for c, w in (("spans", False), ("passages", True))])
+    spans = scratch.table(spans, "spans")
+    for done in ("again", "marks"):
+        scratch.drop(done)
+    return spans
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -318,30 +457,36 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, spread: int = SPREAD, block: int = BLOCK, split: int = SPLIT) -> DataFrame:
-    """docs with spans (maximal removed runs of bytes) and kept (the remaining bytes)."""
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, spread: int = SPREAD, block: int = BLOCK, split: int = SPLIT, words: int = WORDS, word_spread: int = WORD_SPREAD) -> DataFrame:
+    """docs with spans (maximal removed runs of bytes), kept (the remaining bytes) and passages (maximal runs of words that
+    are in a passage which another document holds; they are reported only)."""
     scratch = Scratch(docs.sparkSession)
     raw = F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b""))
-    keyed = docs.select(raw.alias("raw")).withColumn("tk", F.unhex(F.substring(F.sha2("raw", 256), 1, 32)))
-    spans = repeated_spans(keyed, scratch, length, spread, block, split)
-    kept = [c for c in docs.columns if c.lower() not in OURS]
-    own = docs.select(*[F.col(f"`{c}`") for c in kept])
-    tk, many = free_name(own, "_tk"), free_name(own, "_many")
-    spans = sent_or_dealt(spans, 64 + 24 * F.size("spans"))
-    joined = own.withColumn(tk, F.unhex(F.substring(F.sha2(raw, 256), 1, 32))).join(spans.select(F.col("tk").alias(tk), F.col("spans").alias(many)), tk, "left").select(*kept, many)
-    at = kept.index(text_col)
+    key = F.unhex(F.substring(F.sha2(raw, 256), 1, 32))
+    keyed = docs.select(raw.alias("raw"), key.alias("tk"), F.monotonically_increasing_id().alias("row"))
+    found = repeated_spans(keyed, scratch, ((length, spread, block), (words, word_spread)), split)
+    names = [c for c in docs.columns if c.lower() not in OURS]
+    own = docs.select(*[F.col(f"`{c}`") for c in names])
+    tk, hit, many, shared = (free_name(own, x) for x in ("_tk", "_hit", "_many", "_shared"))
+    found = found.select(F.col("tk").alias(tk), F.col("spans").alias(many), F.col("passages").alias(shared))
+    marked = may_be_in(own.withColumn(tk, key), tk, found.select(tk), hit)
+    joined = marked.where(hit).join(found, tk, "left").select(*names, many, shared)
+    at = names.index(text_col)
     types = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    kind = "array<struct<start:bigint,end:bigint>>"
 
     def cut(batches):
         for whole in batches:
             for b in _sliced([whole], at):
-                found, rest = [], []
-                for t, spans in zip(b.column(at), b.column(len(kept)).to_pylist(), strict=True):
+                merged = lambda column: [merge([(x["s"], x["e"]) for x in some or []]) for some in column.to_pylist()]
+                rest, gone, common = [], merged(b.column(len(names))), merged(b.column(len(names) + 1))
+                for t, spans in zip(b.column(at), gone, strict=True):
                     t = (t.as_py() or "").encode()
-                    gone = merge([(x["s"], x["e"]) for x in spans or []])
-                    found.append([{"start": s, "end": e} for s, e in gone])
-                    rest.append(b"".join(t[z:s] for z, s in zip([0, *(e for _, e in gone)], [*(s for s, _ in gone), len(t)], strict=True)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, types), pa.array(rest, pa.binary())], [*kept, *OURS])
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), "spans array<struct<start:bigint,end:bigint>>, kept binary"])
-    return joined.mapInArrow(cut, schema)
+                    rest.append(b"".join(t[z:s] for z, s in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True)))
+                as_dicts = lambda rows: pa.array([[{"start": s, "end": e} for s, e in r] for r in rows], types)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], as_dicts(gone), pa.array(rest, pa.binary()), as_dicts(common)], [*names, *OURS])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), f"spans {kind}, kept binary, passages {kind}"])
+    nothing = F.array().cast(kind)
+    untouched = marked.where(~F.col(hit)).select(*names, nothing.alias("spans"), raw.alias("kept"), nothing.alias("passages"))
+    return joined.mapInArrow(cut, schema).unionByName(untouched)
