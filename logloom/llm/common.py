@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,3 +103,16 @@ def may_be_in(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
     return df.withColumn(piece, number).join(F.broadcast(pieces), piece, "left").withColumn(flag, hit).drop(piece, bits)
+
+
+def join_found(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """df, left-joined null-safely with found on keys.  Rows that a filter on the first key rules out are not moved."""
+    hit = free_name(df, "_hit")
+    marked = may_be_in(df, keys[0], found.select(keys[0]), hit)
+    theirs = {k: free_name(df, f"_found_{k}") for k in keys}
+    renamed = found.withColumnsRenamed(theirs)
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(t)) for k, t in theirs.items()])
+    more = [c for c in found.columns if c not in keys]
+    near = marked.where(hit).drop(hit).join(renamed, same, "left").drop(*theirs.values())
+    far = marked.where(~F.col(hit)).select(*[F.col(f"`{c}`") for c in df.columns], *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in more])
+    return near.unionByName(far)

@@ -3,14 +3,16 @@
 Each task turns the documents that it reads into one array of word numbers (words that no benchmark item has become 0,
 which no match can span) and sorts the suffixes that can begin a match.  Every suffix of every benchmark item is then
 binary-searched in that array; the ranges found are all verbatim occurrences of its leading window.  Occurrences on one
-diagonal of document and item are joined into the longest match of the two.
+diagonal of document and item are joined into matches.  Where an item repeats a window the longest match of the two is
+found by a binary search on its length instead, over hashes of all their ranges of that length, so that no pairs of
+places are listed.  Of several longest matches the first in the document is given, and its first place in the item.
 
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES, one pass over the documents for each block: its size is
-checked, not assumed.  Documents are never shuffled.
+A benchmark of at most BLOCK_BYTES goes to the tasks at once; a larger one in blocks of that size, each with a scan of the
+documents of which only what was hit is written and joined to the documents at the end.
 
 Defined results: null texts have no words; items of fewer words than a window are one window, items without words none;
-rows with one item_id are one item; a null item_id is the item ""; repeated documents each get their row; empty tables give
-no hits; extra columns pass through unless they bear the name of an output column.
+rows with one item_id are one item (a match lies in one of its texts); a null item_id is the item ""; repeated documents
+each get their row; empty tables give no hits; extra columns pass through unless they bear the name of an output column.
 """
 
 from itertools import repeat
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER_BYTES, Scratch
+from logloom.llm.common import LOWER_BYTES, Scratch, free_name, join_found
+from logloom.llm.neardup import between, mix, running
 
 WINDOW = 10
 #: Bytes of benchmark text that one pass sends to the tasks.
@@ -29,6 +32,8 @@ BLOCK_BYTES = 8 << 20
 ARRAY_WORDS = 1 << 19
 #: Lower-cased; what is no word character becomes a space.
 WORD_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in LOWER_BYTES)
+#: The same words as a pattern of Java's.
+WORD_PATTERN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 OURS = ("n_words", "hits", "matches")
 
 
@@ -43,14 +48,21 @@ class TestWindows:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        places: dict[tuple[int, ...], list[tuple[str, int]]] = {}
-        for item, text in items:
+        places: dict[tuple[int, ...], dict[int, int]] = {}
+        self.names, self.texts, self.repeating = [], [], set()
+        for k, (item, text) in enumerate(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            self.names.append(item)
+            self.texts.append(np.array(ids, np.uint64))
             n = min(window, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
-                places.setdefault(tuple(ids[i : i + n]), []).append((item, i))
+                at = places.setdefault(tuple(ids[i : i + n]), {})
+                if k in at:
+                    self.repeating.add(k)
+                else:
+                    at[k] = i
         self.windows = list(places)
-        self.places = [list({item: (item, i) for item, i in reversed(p)}.values()) for p in places.values()]  # the first place in each item
+        self.places = [list(p.items()) for p in places.values()]  # text number and its first place there
         self.longest = max(map(len, self.windows), default=0)
         self.shortest = min(map(len, self.windows), default=0)
         self.bits = max(1, (len(self.vocabulary) + 1).bit_length())
@@ -111,6 +123,19 @@ def occurrences(ids: np.ndarray, test: TestWindows) -> list[tuple[np.ndarray, np
     return found
 
 
+def longest_common(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int]:
+    """First place in doc and in item, and length, of their longest common range of word numbers; one of least words exists."""
+    sums = [running(mix(x.astype(np.uint64) + np.uint64(1))) for x in (doc, item)]
+    ranges = lambda k, n: between(sums[k], np.arange(len(sums[k]) - n), np.arange(n, len(sums[k])))
+    low, high = least, min(len(doc), len(item)) + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if np.isin(ranges(0, mid), ranges(1, mid)).any() else (low, mid)
+    mine, theirs = ranges(0, low), ranges(1, low)
+    at = int(np.nonzero(np.isin(mine, theirs))[0][0])
+    return at, int(np.nonzero(theirs == mine[at])[0][0]), low
+
+
 def judge(texts: list[bytes | None], test: TestWindows):
     """For each text: its number of words, its hit ranges, and its longest match with each item."""
     get, parts, sizes = test.vocabulary.get, [], []
@@ -134,17 +159,24 @@ def judge(texts: list[bytes | None], test: TestWindows):
         order = np.argsort(at, kind="stable")
         which, at, size = which[order], at[order], size[order]
         doc = np.searchsorted(begin, at, "right") - 1
-        runs: dict[tuple[int, str], tuple[int, int, int]] = {}
+        runs: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for w, p, n, d in zip(which.tolist(), at.tolist(), size.tolist(), doc.tolist(), strict=True):
-            for item, q in lists[w]:
-                start, place, length = runs.get((d, item), (-1, -1, 0))
+            for k, q in lists[w]:
+                start, place, length = runs.get((d, k), (-1, -1, 0))
                 if start >= 0 and p - start == q - place and p <= start + length:
                     length = max(length, p + n - start)
                 else:
                     start, place, length = p, q, n
-                runs[d, item] = start, place, length
-                if length > matches[d].get(item, (0, 0, 0))[2]:
-                    matches[d][item] = start - int(begin[d]), place, length
+                runs[d, k] = start, place, length
+                if length > best.get((d, k), (0, 0, 0))[2]:
+                    best[d, k] = start - int(begin[d]), place, length
+        for (d, k), m in best.items():
+            if k in test.repeating:
+                m = longest_common(ids[begin[d] : begin[d + 1] - 1], test.texts[k], m[2])
+            old = matches[d].get(test.names[k])
+            if old is None or (-m[2], m[0]) < (-old[2], old[0]):
+                matches[d][test.names[k]] = m
         on = np.concatenate([[0], (np.cumsum(mark)[:-1] > 0).astype(np.int8), [0]])
         turns = np.nonzero(np.diff(on))[0].reshape(-1, 2)
         for (a, z), d in zip(turns.tolist(), (np.searchsorted(begin, turns[:, 0], "right") - 1).tolist(), strict=True):
@@ -157,10 +189,10 @@ _MATCHES = pa.list_(pa.struct([("item_id", pa.string()), ("doc_start", pa.int64(
 _TYPES = "n_words long, hits array<struct<start:bigint,length:bigint>>, matches array<struct<item_id:string,doc_start:bigint,item_start:bigint,length:bigint>>"
 
 
-def _merged(old, new):
-    """Hit ranges of two passes as one list of disjoint ranges."""
-    out = []
-    for a, n in sorted([(h["start"], h["length"]) for h in old] + new):
+def _ranges(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, length) as disjoint ranges."""
+    out: list[tuple[int, int]] = []
+    for a, n in sorted(hits):
         if out and a <= out[-1][0] + out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], a + n - out[-1][0]))
         else:
@@ -168,27 +200,47 @@ def _merged(old, new):
     return out
 
 
+def _as_dicts(rows, kind):
+    names = [f.name for f in kind.value_type]
+    return pa.array([[dict(zip(names, x, strict=True)) for x in r] for r in rows], kind)
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hits (disjoint ranges of hit words) and matches (the longest verbatim match with each item)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    scratch = Scratch(spark) if blocks > 1 else None
     out = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OURS])
+    send = lambda mine: spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in mine.collect()])
+    if blocks == 1:
+        return _pass(out, send(items), text_col, window)
+    scratch, tk = Scratch(spark), free_name(out, "_tk")
+    own = out.withColumn(tk, F.unhex(F.substring(F.sha2(F.coalesce(F.encode(text_col, "UTF-8"), F.lit(b"")), 256), 1, 32)))
+    found = None
     for block in range(blocks):
-        mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r["item"], r["text"].encode()) for r in mine.collect()])
-        out = _pass(out, sent, text_col, window, first=block == 0)
-        if scratch:
-            out = scratch.table(out, f"pass{block}")
-    return out
-
-
-def _pass(docs: DataFrame, sent, text_col: str, window: int, first: bool) -> DataFrame:
-    kept = [c for c in docs.columns if first or c not in OURS]
+        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        hit = _pass(own.select(text_col, tk), send(mine), text_col, window).where(F.size("hits") > 0)
+        hit = scratch.table(hit.select(tk, "hits", "matches").dropDuplicates([tk]), f"block{block}")
+        found = hit if found is None else found.union(hit)
+    found = found.groupBy(tk).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+
+    def tidy(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _as_dicts([_ranges([(h["start"], h["length"]) for h in r]) for r in b.column(1).to_pylist()], _HITS), b.column(2)], [tk, "hits", "matches"])
+
+    kinds = _TYPES.partition(", ")[2]
+    found = scratch.table(found.mapInArrow(tidy, f"`{tk}` binary, {kinds}"), "found")
+    joined = join_found(own, found, [tk])
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
+    none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return joined.select(*out.columns, n_words.alias("n_words"), none("hits"), none("matches"))
+
+
+def _pass(docs: DataFrame, sent, text_col: str, window: int) -> DataFrame:
+    kept = docs.columns
     at = kept.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), _TYPES])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), _TYPES])
 
     def run(batches):
         test = None
@@ -204,11 +256,7 @@ def _pass(docs: DataFrame, sent, text_col: str, window: int, first: bool) -> Dat
                     end += 1
                 b = whole.slice(begin, end - begin)
                 n_words, hits, matches = judge(texts, test)
-                if not first:
-                    hits = [_merged(o, h) for o, h in zip(b.column("hits").to_pylist(), hits, strict=True)]
-                    matches = [[*(tuple(m.values()) for m in o), *new] for o, new in zip(b.column("matches").to_pylist(), matches, strict=True)]
-                as_dicts = lambda rows, t: pa.array([[dict(zip([f.name for f in t.value_type], x, strict=True)) for x in r] for r in rows], t)
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n_words, pa.int64()), as_dicts(hits, _HITS), as_dicts(matches, _MATCHES)], [*kept, *OURS])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_words, pa.int64()), _as_dicts(hits, _HITS), _as_dicts(matches, _MATCHES)], [*kept, *OURS])
                 begin = end
 
     return docs.mapInArrow(run, schema)
