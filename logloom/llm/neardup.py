@@ -2,33 +2,39 @@
 
 1. Each document's set of 5-word shingles is hashed once; the hash's high bits choose one of BANDS * ROWS bins and the least
    hash in a bin is its value.  An empty bin copies the bin that its own probe sequence finds first (optimal densification).
-2. Documents with equal sets are one class.  Classes that share a band meet in a bucket; a bucket gives edges between its
-   centres (all members if it has at most STARS + 1, else HUBS) and the members only, so pairs grow with rows.
-3. Pairs whose signatures agree too little to be links go; the others are confirmed on full sets: first the best centre of
-   each class, then what still joins different components.  The members of all buckets of more than STARS + 1 that then still
-   hold different components are joined exactly: two sets that are similar enough share one of their rarest shingles (a
-   prefix), so all pairs of different components that do are candidates.
-4. Components by union-find in one task for few edges, else by large-star and small-star steps on tables in the shared folder.
+2. Documents with equal sets are one class.  Classes that share a band meet in a bucket.
+3. Candidates come in three rounds; each is confirmed on full sets, and only what still joins different components goes on.
+   a. In the buckets of the first FIRST bands a star: the least member with each other one.
+   b. In all buckets that hold several components: all pairs of a bucket of at most SMALL members, and in a larger one a
+      star between the component with most members and the members of others.
+   c. In larger buckets that still hold several components, members outside the bucket's largest one are joined exactly: two
+      sets that are similar enough share one of their rarest shingles (a prefix), so no pair of a bucket is left out.
+   A star has as many edges as members, so the pairs grow with the rows, whatever the size of a bucket.
+4. Pairs whose signatures agree too little to be links are not confirmed.  Components are joined in each task by union-find
+   and across tasks by large-star and small-star steps on tables in the shared folder.
 
 At a similarity of 0.75 exactly a pair shares no band with a probability of 2e-5; at 0.8, 1e-7 (bins taken as independent).
 A pair that shares one is a candidate or already in one component, however large the bucket.
 
 Defined results: a document without words (or text) has an empty set and links with nothing; with fewer than five words its
 whole sequence is the one shingle; rows without an id link with nothing, have no component and are kept; repeated rows have
-equal sets, so one component; an empty table gives no rows; extra columns are ignored.
+equal sets, so one component; an empty table gives no rows; extra columns are ignored.  A percent under THRESHOLD is refused:
+the bands are made for that similarity.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER_BYTES, Scratch, sent_or_dealt
+from logloom.llm.common import LOWER_BYTES, Scratch, may_be_in
 
-SHINGLE, BANDS, ROWS, STARS, HUBS = 5, 40, 5, 8, 4
+SHINGLE, BANDS, ROWS = 5, 40, 5
+#: Bands of the first round, and members of a bucket whose pairs are all candidates.
+FIRST, SMALL = 8, 9
 THRESHOLD = 75  # per cent
-#: Edges whose components one task may join.
-ONE_TASK = 200_000
+#: Nodes that one task's union-find holds at once.
+FOREST = 1 << 20
 #: Bytes of text hashed at once, and words of one very long document.
 CHUNK_BYTES, CHUNK_WORDS = 1 << 20, 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -201,13 +207,14 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
             right = pa.array([x == y.as_py() for x, y in zip(set_keys(h, n), b.column(1), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], ["node", "shingles"]).filter(right)
 
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(sent_or_dealt(wanted.select("node", "cid", "rep"), F.lit(64)), "rep")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    texts = may_be_in(texts, "rep", wanted.select("rep"), "hit").where("hit").join(wanted.select("node", "cid", "rep"), "rep")
     once = texts.select("node", "cid", "text").mapInArrow(run, "node long, shingles array<long>")
     return once.groupBy("node").agg(F.first("shingles").alias("shingles"))  # repeated rows of one id
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs without those whose signatures agree far less than a link's would.
+    """pairs (a, b, shared) without those whose signatures agree far less than a link's would.
 
     Only between larger sets: the agreement of BANDS * ROWS bins is then within eight standard deviations of the similarity."""
     floor = percent / 100 - 8 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
@@ -235,8 +242,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _joined_at_once(edges: DataFrame) -> DataFrame:
-    """components() of few edges, in one task: union-find."""
+def _forest(edges: DataFrame) -> DataFrame:
+    """u, v: edges from a node to a lesser one, with the components of edges (a, b); each task joins what it reads."""
 
     def run(batches):
         root: dict[int, int] = {}
@@ -247,32 +254,32 @@ def _joined_at_once(edges: DataFrame) -> DataFrame:
                 x = up
             return x
 
+        def found():
+            rows = [(x, r) for x in list(root) if (r := find(x)) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["u", "v"])
+
         for b in batches:
             for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 u, v = find(u), find(v)
                 root[max(u, v)] = min(u, v)
-        found = [(x, r) for x in list(root) if (r := find(x)) != x]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["node", "root"])
+            if len(root) > FOREST:
+                yield found()
+        yield found()
 
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).repartition(1).mapInArrow(run, "node long, root long")
+    parts = 1 + edges.count() // max(FOREST, 1)  # as few as hold all edges: each joins more than any part of it would
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(parts).mapInArrow(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, root (the least node reachable) for each node of edges (a, b) that is not a root itself.
-
-    At most ONE_TASK edges are joined in one task; more by alternating large-star and small-star steps."""
-    from pyspark.sql import Observation
-
-    if edges.count() <= ONE_TASK:
-        return scratch.table(_joined_at_once(edges), f"{name}_0")
+    """node, root (the least node reachable) for each node of edges (a, b) that is not a root itself."""
 
     def write(df: DataFrame, turn: int) -> tuple[DataFrame, tuple]:
         seen = Observation()
         table = scratch.table(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), f"{name}_{turn}")
         return table, (seen.get["n"], seen.get["s"])
 
-    now, seen = write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), 0)
+    now, seen = write(_forest(edges), 0)
     turn = 0
     while True:
         turn += 1
@@ -288,23 +295,35 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         now, seen = after, found
 
 
-def _stars(buckets: DataFrame, order: list) -> DataFrame:
-    """a, b, shared (in how many buckets): edges between the centres of a bucket and its members, of different roots.
+def _alike(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """a, b, shared (in how many buckets) of met: node, other."""
+    return met.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def _first_stars(buckets: DataFrame, percent: int) -> DataFrame:
+    centres = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c")).select("key", F.col("c.node").alias("other"), F.col("c.n").alias("n_other"))
+    return _pairs(buckets.join(centres, "key").where((F.col("node") != F.col("other")) & _alike("n", "n_other", percent)))
+
 
-    A bucket of at most STARS + 1 members has all but its last as centres, so it misses no pair; a larger one has HUBS."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy(*order, "node"))
-    most = F.when(F.col("size") <= STARS + 1, STARS).otherwise(HUBS)
-    centres = buckets.withColumn("place", place).where(F.col("place") <= STARS).where(F.col("place") <= most)
-    centres = centres.select("key", F.col("node").alias("centre"), F.col("n").alias("cn"), F.col("root").alias("croot"))
-    alike = 100 * F.least("n", "cn") >= THRESHOLD * F.greatest("n", "cn")
-    met = buckets.alias("m").join(centres.alias("c"), (F.col("m.key") == F.col("c.key")) & (F.col("root") != F.col("croot")) & alike)
-    return met.groupBy(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).agg(F.count("*").alias("shared"))
+def _main_roots(buckets: DataFrame) -> DataFrame:
+    """key, size, main (the root of most members), other and n_other (the least of these), for buckets (key, node, n, root) of several roots."""
+    by_root = buckets.groupBy("key", "root").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("c"))
+    main = F.max(F.struct("k", "root", "c")).alias("m")
+    kinds = by_root.groupBy("key").agg(main, F.sum("k").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    return kinds.select("key", "size", F.col("m.root").alias("main"), F.col("m.c.node").alias("other"), F.col("m.c.n").alias("n_other"))
 
 
-def _mixed(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets that hold different roots, with the bucket's size."""
-    kinds = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    return buckets.drop("size").join(kinds.select("key", "size"), "key")
+def _second_pairs(buckets: DataFrame, mains: DataFrame, percent: int) -> DataFrame:
+    small = mains.where(F.col("size") <= SMALL).select("key")
+    some = buckets.join(small, "key")
+    others = some.select("key", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("root").alias("r"))
+    within = some.join(others, "key").where((F.col("node") < F.col("other")) & (F.col("root") != F.col("r")) & _alike("n", "n_other", percent)).select("node", "other")
+    stars = buckets.join(mains.where(F.col("size") > SMALL), (buckets["key"] == mains["key"]) & (F.col("root") != F.col("main")) & _alike("n", "n_other", percent)).select("node", "other")
+    return _pairs(within.union(stars))
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -321,20 +340,19 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _all_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs of prefixes (with root) of different roots that may be similar enough; none that is goes missing."""
-    roots = prefixes.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token")
-    mixed = roots.agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")  # of two roots, one at least is not the main one
-    some = prefixes.join(mixed.select("token", "main"), "token")
-    a, b = (some.select("token", "main", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "left", "root")]) for side in "ab")
-    once = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-    alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    """a, b: the pairs of prefixes (with root and outside) of different roots, one of them outside at least, that may be similar
+    enough; none that is goes missing."""
+    a, b = (prefixes.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "left", "root", "outside")]) for side in "ab")
+    once = (F.col("root_a") != F.col("root_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b")))
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    met = a.where("root_a <> main").drop("main").join(b, "token").where(once & alike & enough)
+    met = a.where("outside_a").join(b, "token").where(once & _alike("n_a", "n_b", percent) & enough)
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """docs' ids with n_shingles, component_id and kept: a row for each row of docs (id, n_shingles, component_id, kept)."""
+    if percent < THRESHOLD:
+        raise ValueError(f"the bands find pairs of {THRESHOLD} per cent and more")
     scratch = Scratch(docs.sparkSession)
     sets = scratch.table(document_sets(docs, id_col, text_col), "sets")
     some = sets.where((F.col("n") > 0) & F.col("id").isNotNull())
@@ -342,10 +360,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     can_link = 100 * F.col("n") >= percent * (F.col("n") + 1)  # a smaller set is similar enough to no other set
     buckets = classes.where(can_link).select("node", "n", F.posexplode("bands").alias("at", "key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = scratch.table(buckets.join(sizes, "key"), "buckets")  # most classes are alone in all their buckets
-    pairs = scratch.table(_likely(_stars(shared.withColumn("root", F.col("node")), []), classes, percent), "pairs")
-    links, roots, fulls = None, None, []
+    several = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    shared = scratch.table(buckets.join(several, "key", "left_semi"), "buckets")  # most classes are alone in all their buckets
+    links, roots, fulls, tested = None, None, [], None
 
     def full_sets(nodes: DataFrame, name: str) -> DataFrame:
         """node, shingles of nodes, at least; each set is made once."""
@@ -360,15 +377,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             full = full.union(f)
         return full
 
-    def test(untested: DataFrame, name: str) -> None:
-        """Confirm pairs."""
+    def test(pairs: DataFrame, name: str, best_first: bool = False) -> None:
+        """Confirm pairs (a, b, shared) that have not been.  best_first: the best partner of each class before all others, as what
+        it joins needs no further test."""
+        nonlocal links, roots, tested
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = rest = scratch.table(_likely(pairs, classes, percent), f"pairs_{name}")
+        if best_first and not pairs.isEmpty():
+            best = F.max_by("a", F.struct("shared", -F.col("a")))
+            first = scratch.table(pairs.groupBy("b").agg(best.alias("a")).select("a", "b"), f"best_{name}")
+            confirm(first, f"best_{name}")
+            rest = scratch.table(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")), f"rest_{name}")
+        if not rest.isEmpty():
+            confirm(rest.select("a", "b"), f"rest_{name}")
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+
+    def confirm(untested: DataFrame, name: str) -> None:
         nonlocal links, roots
         nodes = untested.select(F.col("a").alias("node")).union(untested.select(F.col("b").alias("node"))).distinct()
         good = scratch.table(_confirm(untested, full_sets(nodes, name), percent), f"links_{name}")
-        if good.isEmpty():
-            return
-        links = good if links is None else links.union(good)
-        roots = components(links, scratch, f"roots_{name}")
+        if not good.isEmpty():
+            links = good if links is None else links.union(good)
+            roots = components(links, scratch, f"roots_{name}")
 
     def rooted(some: DataFrame) -> DataFrame:
         """some (with node) with the root of each node."""
@@ -386,22 +417,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             some = some.join(mine, side, "left").withColumn(f"r{side}", F.coalesce("r", side)).drop("r")
         return some.where("ra <> rb").select(*own)
 
-    best = F.max_by("a", F.struct("shared", -F.col("a")))
-    first = scratch.table(pairs.groupBy("b").agg(best.alias("a")).select("a", "b"), "first")
-    if not first.isEmpty():
-        test(first, "first")
-    rest = apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti"))
-    if not (rest := scratch.table(rest, "rest")).isEmpty():
-        test(rest, "rest")
-    # Large buckets of several components: every pair of their members is covered by an exact join.
-    large = rooted(shared.where(F.col("size") > STARS + 1))
-    members = scratch.table(_mixed(large).select("node").distinct(), "members")
-    if not members.isEmpty():
-        prefixes = scratch.table(_prefixes(full_sets(members, "members"), percent), "prefixes")
-        more = _all_pairs(rooted(prefixes), percent).join(pairs.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(1).cast("long"))
-        more = scratch.table(_likely(more, classes, percent).select("a", "b"), "more")
-        if not more.isEmpty():
-            test(more, "more")
+    test(_first_stars(shared.where(F.col("at") < FIRST), percent), "a", best_first=True)
+    now = scratch.table(rooted(shared), "now")
+    test(_second_pairs(now, scratch.table(_main_roots(now), "mains"), percent), "b")
+    # Large buckets of several components: members outside the main one meet all members of other components exactly.
+    now = scratch.table(rooted(shared), "later")
+    mains = scratch.table(_main_roots(now).where(F.col("size") > SMALL), "later_mains")
+    if not mains.isEmpty():
+        outside = now.join(mains, (now["key"] == mains["key"]) & (F.col("root") != F.col("main"))).select("node").distinct()
+        inside = now.select("node", "root").distinct().join(mains.select(F.col("main").alias("root")).distinct(), "root", "left_semi").select("node")
+        members = scratch.table(outside.withColumn("outside", F.lit(True)).union(inside.withColumn("outside", F.lit(False))).groupBy("node").agg(F.max("outside").alias("outside")), "members")
+        prefixes = scratch.table(_prefixes(full_sets(members.select("node"), "members").join(members, "node"), percent), "prefixes")
+        test(_all_pairs(rooted(prefixes.join(members, "node")), percent).withColumn("shared", F.lit(1).cast("long")), "c")
     labels = classes.select("cid", "node", "rep")
     if roots is not None:
         labels = rooted(labels)
