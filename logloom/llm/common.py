@@ -1,8 +1,11 @@
 """Shared helpers: tables in the cluster's shared folder, byte-wise text rules, clash-free column names."""
 
+from __future__ import annotations
+
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,11 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITE = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
+_made: list[list[Scratch]] = []
+
+
+@contextmanager
+def cleaned():
+    """Closes each Scratch that is made within, at the end: for steps whose results are written before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.close()
+
+
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        if _made:
+            _made[-1].append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written once and read back.  name may be used once for each Scratch."""
@@ -73,16 +92,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of a table that may be sent to every task.
-BROADCAST_BYTES = 32 << 20
-
-
-def sent_or_dealt(table: DataFrame, size: Column) -> DataFrame:
-    """table, marked to be sent to every task if the sum of size (bytes of a row) says that it is small; a larger one is
-    left to a join that deals both sides."""
-    return F.broadcast(table) if (table.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else table
-
-
 #: Bits of a key filter, and of each of its pieces.
 FILTER_BITS, PIECE_BITS = 1 << 27, 1 << 15
 

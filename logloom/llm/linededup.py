@@ -14,7 +14,7 @@ Working columns have their own names, so extra columns of any name do no harm.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, free_name, lower_ascii, sent_or_dealt
+from logloom.llm.common import Scratch, free_name, join_found, lower_ascii
 
 SPACE = "\t\n\x0b\x0c\r "
 #: Keys with fewer code points stay.
@@ -56,22 +56,29 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmap(text: Column, drops: Column) -> Column:
-    """text without the lines whose bits are set in drops (null: nothing to drop)."""
+    """text without the lines whose bits are set in drops (null: nothing to drop).  Each line is looked at once: what lies
+    between two words of the bitmap stays as it is."""
+
+    def kept(lines: Column) -> Column:
+        def part(d: Column, i: Column) -> Column:
+            begin = F.when(i == 0, F.lit(1)).otherwise(F.get(drops, i - 1)["word"] * 64 + 65)
+            judged = F.filter(F.slice(lines, d["word"] * 64 + 1, F.lit(64)), lambda _, at: F.getbit(d["bits"], at) == 0)
+            return F.concat(F.slice(lines, begin, d["word"] * 64 + 1 - begin), judged)
+
+        rest = F.slice(lines, F.element_at(drops, -1)["word"] * 64 + 65, F.size(lines))
+        return F.concat(F.flatten(F.transform(drops, part)), rest)
+
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    hit = lambda i: F.exists(drops, lambda d: (d["word"] == (i / 64).cast("int")) & (F.getbit(d["bits"], i % 64) == 1))
-    kept = F.filter(lines, lambda _, i: ~hit(i))
-    return F.when(drops.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    once = F.transform(F.array(lines), kept)[0]  # the lines are split once, not for each use
+    return F.when(drops.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(once, "\n"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY, scratch: Scratch | None = None) -> DataFrame:
     """docs with two more columns: drops (the bitmap, null if nothing goes) and n_dropped."""
     scratch = scratch or Scratch(docs.sparkSession)
     maps = scratch.table(drop_bitmaps(docs, id_col, text_col, min_key, scratch), "bitmaps")
-    maps = sent_or_dealt(maps, 64 + 24 * F.size("drops"))
-    left = {c: free_name(docs, f"_{c}") for c in ("id", "text_hash")}
-    maps = maps.select(*[F.col(c).alias(x) for c, x in left.items()], "drops", "n_dropped")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    on = F.col(id_col).eqNullSafe(F.col(left["id"])) & (F.xxhash64(text) == F.col(left["text_hash"]))
-    keep = [c for c in docs.columns if c.lower() not in ("drops", "n_dropped")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in keep]).join(maps, on, "left")
-    return joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop(*left.values())
+    own = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("drops", "n_dropped")])
+    text_hash = free_name(own, "_text_hash")
+    keyed = own.withColumn(text_hash, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = join_found(keyed, maps.withColumnsRenamed({"id": id_col, "text_hash": text_hash}), [text_hash, id_col])
+    return joined.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).drop(text_hash)

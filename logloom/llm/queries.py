@@ -181,7 +181,8 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     archives = scratch.table(warc.write_archives(warc.elect(read_table(spark, sf_dir, "pages"))), "monolithic")
-    records = warc.read_records(scratch.table(warc.normalise(archives), "normalised"))
+    normalised = scratch.table(warc.normalise(archives), "normalised")
+    records = warc.read_records(normalised, scratch.table(warc.sidecar(normalised), "sidecar"))
     return records.select(
         F.col("id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"),
         F.col("type").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),

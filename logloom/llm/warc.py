@@ -1,8 +1,8 @@
 """WARC archives: writer, monolithic gzip normaliser with a sidecar offset index, and reader.
 
 write_archives() puts rows into archives that are one gzip stream each (the monolithic form).  normalise() inflates such a
-stream once, piece by piece, rewrites every record as a gzip member of its own and returns the archive with a sidecar
-index of (offset, length) for each record, so that any record can be read alone.  read_records() reads by that index.
+stream once, piece by piece, and rewrites every record as a gzip member of its own; sidecar() is the table of offsets and
+lengths, a row for each record, by which any record can be read alone.  read_records() reads by it.
 
 Archives are rows (name, content) of a Spark table: they go wherever Spark can write, never to an executor's own disk.
 An archive is closed once it holds archive_bytes of records, which bounds the memory of writer, normaliser and reader.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, sent_or_dealt
+from logloom.llm.common import Scratch, join_found
 
 #: Uncompressed bytes after which the writer closes an archive.
 ARCHIVE_BYTES = 16 << 20
@@ -38,7 +38,7 @@ def elect(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     ).withColumn("digest", F.sha2("payload", 256))
     winners = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("order").alias("winner"), F.count("*").alias("n"))
     winners = Scratch(pages.sparkSession).table(winners.where("n > 1").select("digest", "winner"), "winners")  # a payload that is alone needs none
-    joined = rows.join(sent_or_dealt(winners, F.lit(128)), "digest", "left")
+    joined = join_found(rows, winners, ["digest"])
     revisit = F.when(~F.col("order").eqNullSafe(F.col("winner")), F.col("winner").cast("string"))
     return joined.select("id", "url", "payload", revisit.alias("refers_to"))
 
@@ -142,8 +142,16 @@ def normalise(archives: DataFrame) -> DataFrame:
     return archives.select("name", "content").mapInArrow(rewrite, "name string, content binary, index array<struct<offset:bigint,length:bigint,record_id:string,type:string,uri:string>>")
 
 
-def read_records(archives: DataFrame) -> DataFrame:
-    """Normalised archives -> id, uri, type, refers_to, payload (null for a revisit), payload_bytes, digest; each record by its index entry."""
+def sidecar(normalised: DataFrame) -> DataFrame:
+    """The offset index: name, offset, length, record_id, type, uri; a row for each record."""
+    return normalised.select("name", F.explode("index").alias("e")).select("name", "e.*")
+
+
+def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """Normalised archives (name, content) and their sidecar, or a part of it -> id, uri, type, refers_to, payload (null for a
+    revisit), payload_bytes, digest: each record of the index, read by its offset.  An archive's index is as bounded as it is."""
+    entries = index.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "record_id"))).alias("index"))
+    archives = archives.select("name", "content").join(entries, "name")
 
     def read(batches):
         for b in batches:
