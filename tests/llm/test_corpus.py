@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from logloom.llm import common, decontaminate, neardup, repeats, toxicity
+from logloom.llm import common, decontaminate, neardup, queries, repeats, toxicity
 from logloom.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, n long, cid string, hits string, score string, kept string, tk string"
@@ -37,6 +38,25 @@ def corpus(seed, n=60, size=60):
     return rows
 
 
+def longest_match(a, b):
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(row[j] + 1 if x == b[j] else 0 for j in range(len(b)))]
+        best = max(best, *row)
+    return best
+
+
+def test_longest_match_in_items_that_repeat_windows(spark):
+    bench = spark.createDataFrame([(1, "a b c a b d"), (2, "x y " * 30 + "z"), (3, "p q r s"), (3, "p q p q r s t")], "item_id int, text string")
+    texts = ["a b d", "k a b c a b d k", "y x y x y z", "x y x y", "p q r s t", "b d a b c", "a b c a b d a b d"]
+    out = decontaminate.find_overlaps(frame(spark, list(enumerate(texts)), 1), bench, window=2).collect()
+    got = {r.doc_id: sorted((m.item_id, m.doc_start, m.item_start, m.length) for m in r.matches) for r in out}
+    assert got == {
+        0: [("1", 0, 3, 3)], 1: [("1", 1, 0, 6)], 2: [("2", 0, 55, 6)], 3: [("2", 0, 0, 4)],
+        4: [("3", 0, 2, 5)], 5: [("1", 2, 0, 3)], 6: [("1", 0, 0, 6)],
+    }
+
+
 @pytest.mark.parametrize("window", [2, 5])
 def test_overlaps(spark, window):
     rows = corpus(3)
@@ -62,6 +82,7 @@ def test_overlaps(spark, window):
             for m in r.matches:
                 w = decontaminate.words(r.text.encode())[m.doc_start : m.doc_start + m.length]
                 assert any(w == decontaminate.words(b.encode())[m.item_start : m.item_start + m.length] for i, b in bench if b and ("" if i is None else str(i)) == m.item_id)
+                assert m.length == max(longest_match(decontaminate.words(r.text.encode()), decontaminate.words(b.encode())) for i, b in bench if b and ("" if i is None else str(i)) == m.item_id)
     clean = decontaminate.decontaminate(frame(spark, rows), bdf, window=window)
     assert clean.columns == [c for c in frame(spark, rows).columns if c != "hits"] and clean.count() == sum(k[2] == 0 for k in want)
     none = bdf.limit(0)
@@ -93,11 +114,12 @@ def brute_components(rows):
     return [(str(i), len(s), str(least[find(a)] if i is not None else None)) for a, (i, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("stars", [8, 1])
-def test_near_duplicates(spark, stars, monkeypatch):
-    monkeypatch.setattr(neardup, "STARS", stars)
-    monkeypatch.setattr(neardup, "ONE_TASK", 0 if stars == 1 else 1000)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", stars - 1 and 1 << 20)
+@pytest.mark.parametrize(("small", "first", "bits"), [(9, 8, 1 << 27), (2, 1, 1 << 16)])
+def test_near_duplicates(spark, small, first, bits, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "FIRST", first)
+    monkeypatch.setattr(neardup, "FOREST", small)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     rows = corpus(4, n=160, size=40)
     out = neardup.near_duplicates(frame(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == sorted(brute_components(rows))
@@ -134,6 +156,11 @@ def test_near_duplicates_of_parts_that_no_band_splits(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in neardup.near_duplicates(frame(spark, rows)).collect()) == sorted(want)
 
 
+def test_similarities_below_the_bands_are_refused(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(frame(spark, [(1, "a")]), percent=50)
+
+
 def test_long_documents_hash_in_pieces(monkeypatch):
     texts = [" ".join(str(i % 700) for i in range(3000)).encode(), b"a b", b"", None, b"a b c d e f"]
     whole = neardup.shingle_sets(texts)
@@ -154,9 +181,9 @@ def test_signatures_estimate_similarity():
         assert abs(sims[0] - len(np.intersect1d(a, b)) / len(h)) < (0.35 if size == 3 else 0.1)
 
 
-@pytest.mark.parametrize("one_task", [0, 1000])
-def test_components_of_chains(spark, one_task, monkeypatch):
-    monkeypatch.setattr(neardup, "ONE_TASK", one_task)
+@pytest.mark.parametrize("forest", [0, 1000])
+def test_components_of_chains(spark, forest, monkeypatch):
+    monkeypatch.setattr(neardup, "FOREST", forest)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 100)]
     out = neardup.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark), "t").collect()
     assert {r.node: r.root for r in out} == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
@@ -169,33 +196,76 @@ def test_suffix_array(s):
     assert repeats.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("split", [4096, 2])
-def test_repeats(spark, split, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0 if split == 2 else 1 << 20)
-    rows = corpus(5) + [(950, "ab" * 300), (951, "x" * 100)]
-    length = 64
+def word_list(t):
+    return [bytes(b + 32 if 65 <= b <= 90 else b for b in x) for x in (t or "").encode().split()]
+
+
+def shared_words(rows, words):
+    """How many words of each row are in a passage of so many words that another row holds."""
+    holders = {}
+    for k, (_, t) in enumerate(rows):
+        w = word_list(t)
+        for i in range(len(w) - words + 1):
+            holders.setdefault(tuple(w[i : i + words]), set()).add(k)
+    out = []
+    for _, t in rows:
+        w = word_list(t)
+        out.append(len({i + j for i in range(len(w) - words + 1) if len(holders[tuple(w[i : i + words])]) > 1 for j in range(words)}))
+    return out
+
+
+def cut_repeats(rows, length):
+    """(spans, remaining bytes) of each row."""
     grams = Counter()
     for _, t in rows:
         b = (t or "").encode()
         grams.update(b[k : k + length] for k in range(len(b) - length + 1))
-    want = []
-    for i, t in rows:
+    out = []
+    for _, t in rows:
         b = (t or "").encode()
         spans = repeats.merge([(k, k + length) for k in range(len(b) - length + 1) if grams[b[k : k + length]] > 1])
         gone = {k for s, e in spans for k in range(s, e)}
-        want.append((str(i), len(spans), hashlib.sha256(bytes(c for k, c in enumerate(b) if k not in gone)).hexdigest()))
-    got = repeats.remove_repeats(frame(spark, rows), length=length, spread=30, block=8, split=split).collect()
-    assert sorted((str(r.doc_id), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == sorted(want)
+        out.append((spans, bytes(c for k, c in enumerate(b) if k not in gone)))
+    return out
+
+
+@pytest.mark.parametrize("split", [4096, 2])
+def test_repeats(spark, split):
+    rows = corpus(5) + [(950, "ab" * 300), (951, "x" * 100), (952, "q w e r t z u i o p a s " * 5), (953, "mm nn oo pp " * 6)]
+    rows += [(954, "\n" + rows[0][1].upper().replace(" ", " \t")), (955, " ".join("abc"[i % 3] * 3 + str(i % 97) for i in range(20000)))]
+    want = [(str(i), len(spans), hashlib.sha256(rest).hexdigest(), n) for (i, _), (spans, rest), n in zip(rows, cut_repeats(rows, 64), shared_words(rows, 12), strict=True)]
+    got = repeats.remove_repeats(frame(spark, rows), length=64, spread=30, block=8, split=split, words=12, word_spread=7).collect()
+    assert sorted((str(r.doc_id), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest(), sum(p.end - p.start for p in r.passages)) for r in got) == sorted(want)
     assert "tk" in got[0].asDict() and repeats.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_op9_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    want = []
+    for (i, t), (spans, rest), n in zip(rows, cut_repeats(rows, 400), shared_words(rows, 50), strict=True):
+        size = len((t or "").encode())
+        want.append((i, size, size - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), n))
+    got = queries.op9_repeats(spark, d).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_words")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_words_of_long_texts(monkeypatch):
+    texts = [b"a bb  c" * 40, b"", b" \n", b"one" * 50 + b" two", b"A\tBB c"]
+    whole = repeats.word_values(texts)
+    monkeypatch.setattr(repeats, "CHUNK_BITS", 4)
+    pieces = repeats.word_values(texts)
+    assert [len(w) for w in whole] == [len(t.split()) for t in texts] and all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    assert whole[4][0] == whole[0][0] and whole[4][1] == whole[0][1] and repeats.word_values([]) == []
+
+
 def test_repeats_in_pieces_of_long_texts(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK_BITS", 10)
     t = [bytes(random.Random(1).choices(range(97, 123), k=5000)), b"", b"z" * 400]
     starts = []
     for who, where, pieces in repeats._chunks(t, 400):
         edges = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        text, a, i0, i1, core, whole = repeats.runs(np.frombuffer(b"".join(pieces), np.uint8), edges, 400, 192)
+        text, a, i0, i1, core, whole = repeats.runs(neardup.byte_values(np.frombuffer(b"".join(pieces), np.uint8)), edges, 400, 192)
         for k, s, e in zip(text.tolist(), i0.tolist(), i1.tolist(), strict=True):
             starts += [(who[k], where[k] + x - int(edges[k])) for x in range(s, e + 1)]
     assert sorted(starts) == [(0, i) for i in range(4601)] + [(2, 0)]
@@ -239,6 +309,107 @@ def test_toxicity_learns_and_leaves_clean_alone(spark):
     assert {x.score for x in toxicity.score_documents(docs, none).collect()} == {0.5}
 
 
+def brute_scores(docs, labels, terms, k=toxicity.NEIGHBOURS):
+    """id -> score of each (id, text), by comparing it with all examples.  terms: the marked terms."""
+    def split(t):
+        w = Counter(decontaminate.words((t or "").encode()))
+        marked = Counter()
+        for x, n in w.items():
+            for f in toxicity.features(x):
+                if f in terms:
+                    marked[f] += n
+        return ("marked", marked) if marked else ("bare", w)
+
+    parts = {i: split(t) for i, t in docs}
+    learnt = {i: y for i, y in labels.items() if i in parts}
+    bare = [i for i in learnt if parts[i][0] == "bare"]
+    rate = (sum(learnt[i] for i in bare) + 0.5) / (len(bare) + 1)
+    known = {"marked": set(terms), "bare": {w for i in bare for w in parts[i][1]}}
+    df = Counter()
+    for i, t in docs:
+        w = decontaminate.words((t or "").encode())
+        df.update({("bare", x) for x in w} | {("marked", f) for x in w for f in toxicity.features(x) if f in terms})
+
+    def unit(i):
+        kind, counts = parts[i]
+        v = {t: (1 + np.log(n)) * (np.log((1 + len(docs)) / (1 + df[kind, t])) + 1) for t, n in counts.items() if t in known[kind]}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: unit(i) for i in parts}
+
+    def vote(i, skip=None):
+        mine = [j for j in learnt if parts[j][0] == parts[i][0] and j != skip]
+        near = sorted(((round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()), 9), learnt[j]) for j in mine), reverse=True)[:k]
+        near = [(c, y) for c, y in near if c > 0]
+        return near and round((sum(c * c * y for c, y in near) + rate * 0.1) / (sum(c * c for c, _ in near) + 0.1), 6)
+
+    out, lines = {}, {}
+    for kind in known:
+        own = [i for i in learnt if parts[i][0] == kind and vectors[i]]
+        lines[kind] = toxicity.isotonic([(vote(i, skip=i) or round(rate, 6), learnt[i]) for i in own])
+    for i in parts:
+        v = vote(i)
+        out[i] = round(float(np.interp(v, *lines[parts[i][0]])), 6) if v else rate
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    r = random.Random(11)
+    usual, bad = [f"w{i}" for i in range(400)], ["grunk", "blorf"]
+    rows = [(i, " ".join(r.choices(usual, k=r.randrange(4, 60)) + (r.choices(bad, k=2) if i % 7 == 0 else []))) for i in range(260)]
+    rows += [(900, None), (901, "."), (902, "unseen words only")]
+    labels = {i: int(i % 7 == 0 or i % 11 == 0) for i in range(180)}  # some toxic ones without a marked term
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id long, quality int, toxic int"), F.lit(True))
+    assert model.terms and len(model.marked.labels) + len(model.bare.labels) == 180
+    got = {x.doc_id: x.score for x in toxicity.score_documents(docs, model).collect()}
+    want = brute_scores(rows, labels, model.terms)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-5 for i in got)
+    assert len(set(got.values())) >= 5
+
+
+def test_op7_query_scores_held_out_documents(spark):
+    d = "/root/testdata/sf0.01"
+    out = queries.op7_toxicity(spark, d).collect()
+    truth = {x.doc_id: x.toxic for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert len(out) == spark.read.parquet(f"{d}/documents.parquet").count()
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 3 == 1) and 0 <= x.score <= 1 and x.predicted == int(x.score >= 0.7) for x in out)
+    held = [x for x in out if x.held_out and truth.get(x.doc_id) is not None]
+    assert sum(x.predicted == truth[x.doc_id] for x in held) / len(held) > 0.95
+    assert all(truth.get(int(e.id)) == e.label and zlib.crc32(e.id.encode()) % 3 != 1 for x in out for e in x.evidence)
+    assert sum(len(x.evidence) > 0 for x in out) > 0.95 * len(out)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9).map(lambda x: x / 10), st.integers(0, 1)), max_size=40))
+def test_calibration_rises(points):
+    votes, rates = toxicity.isotonic(points, 3)
+    assert votes == sorted(votes) and rates == sorted(rates) and len(votes) == len(rates) and all(0 < x < 1 for x in rates)
+
+
+def test_empty_tables_teach_nothing(spark):
+    none, labels = frame(spark, []).limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(none, labels, F.lit(True))
+    assert toxicity.score_documents(none, model).count() == 0
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    d = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, hits string, drops string, kept string, tk string"
+    rows = [(1, None, "en", "a", None, "s", "h", "d", "k", "t"), (2, "", None, "a", 0, "s", "h", "d", "k", "t"), (None, "no id here", "en", None, 10, None, None, None, None, None), (3, "the same words", "en", "a", 14, "s", "h", "d", "k", "t"), (3, "the same words", "en", "a", 14, "s", "h", "d", "k", "t")]
+    for case, df in (("rows", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        now = df
+        for name, stage in cp.STAGES:
+            stage(spark, now, d).write.parquet(str(tmp_path / case / name))
+            now = spark.read.parquet(str(tmp_path / case / name))
+            if name != "pack":
+                assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(now.columns)
+        assert (case == "none") == (now.count() == 0)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from logloom.llm import chat, media, packing, warc
+from logloom.llm import chat, media, packing, queries, warc
 from logloom.llm.queries import HARD_CONVERSATION, digest_examples
 
 TEXTS = [None, "", "a", "Hello world. " * 700, "x" * 5000, "ünï " * 300, "<|endoftext|> in a text", "same", "same", "word " * 1023, "z " * 300]
@@ -121,7 +121,11 @@ def test_warc_round_trip(spark):
             assert f"WARC-Type: {e.type}".encode() in rec
         assert sum(e.length for e in a["index"]) == len(a.content)
     assert len(archives) > 1
-    got = sorted(((r.id, r.type, r.refers_to, r.payload_bytes, r.digest) for r in warc.read_records(warc.normalise(mono)).collect()), key=str)
+    normal = warc.normalise(mono)
+    index = warc.sidecar(normal)
+    assert index.columns == ["name", "offset", "length", "record_id", "type", "uri"] and index.count() == len(rows)
+    got = sorted(((r.id, r.type, r.refers_to, r.payload_bytes, r.digest) for r in warc.read_records(normal, index).collect()), key=str)
+    assert [r.type for r in warc.read_records(normal, index.where("record_id = '<urn:page:3>'")).collect()] == ["response"]
     last = {h or "": max(i for i, g in enumerate(html) if (g or "") == (h or "")) for h in html}
     want = []
     for i, _, h, _ in rows:
@@ -130,7 +134,81 @@ def test_warc_round_trip(spark):
         kind = "response" if to is None or i == to else "revisit"
         want.append((None if i is None else str(i), kind, str(to) if kind == "revisit" else None, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode()))
     assert got == sorted(want, key=str)
-    assert warc.read_records(warc.normalise(warc.write_archives(warc.elect(df.limit(0))))).count() == 0
+    none = warc.normalise(warc.write_archives(warc.elect(df.limit(0))))
+    assert warc.read_records(none, warc.sidecar(none)).count() == 0
     with pytest.raises(ValueError):
         list(warc.split_records([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"]))
     assert F is not None
+
+
+def test_op10_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{d}/pages.parquet").collect()]
+    last = {}
+    for i, raw in rows:
+        last[raw] = max(i, last.get(raw, i))
+    want = sorted((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if last[raw] == i else "revisit", None if last[raw] == i else last[raw]) for i, raw in rows)
+    got = queries.op10_warc(spark, d).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_op5_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op5_media(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    by_text = {}
+    for r in got:
+        raw = rows[r.doc_id]
+        padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        stored = media.contain(padded)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        spans = media.find_media(stored, media.automaton())
+        kinds = ";".join(f"{s['type']}@{s['start']}+{s['end'] - s['start']}" for s in spans)
+        assert spans[0]["start"] == 0 and stored[spans[0]["body_start"] : spans[0]["body_end"]] == padded and kinds in r.feature
+        assert by_text.setdefault(raw, r.feature) == r.feature
+
+
+def test_op4_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    turns = {}
+    for r in spark.read.parquet(f"{d}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.role, r.text or ""))
+    turns[-7] = [(r, t) for _, _, r, t in HARD_CONVERSATION]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for c, rows in turns.items():
+        loss = "".join(t for r, t in rows if r == "assistant")
+        want[c] = (len(rows), sha("".join(f"{r}\n{t}\n" for r, t in rows)), len(loss), sha(loss), sum(len(text) for text, _, _ in chat.expand(rows)))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in queries.op4_chat(spark, d).collect()}
+    assert got == want
+
+
+def test_op3_query_against_the_library(spark):
+    d = "/root/testdata/sf0.001"
+    slow = Tokenizer.from_file(paths()[0])
+    rows = {r.doc_id: slow.encode(r.text or "", add_special_tokens=False).ids + [0] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    by_doc, by_seq = {}, {}
+    for r in queries.op3_pack(spark, d).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_seq.setdefault(r.sequence_id, []).append(r)
+    assert set(by_doc) == set(rows)
+    for i, pieces in by_doc.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            ids = np.array(rows[i][at : at + p.length], "<u4").tobytes()
+            assert p.start == at and p.doc_tokens == len(rows[i]) and p.ids_crc32 == zlib.crc32(ids)
+            at += p.length
+        assert at == len(rows[i])
+    for s in by_seq.values():
+        s.sort(key=lambda p: p.offset)
+        assert [p.offset for p in s] == [sum(q.length for q in s[:k]) for k in range(len(s))] and sum(p.length for p in s) <= 1024
+    assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", *paths()).count() == 0
+
+
+def test_media_of_empty_tables_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, b"a" * 64, b"old", "text/x", 7)], "id int, payload binary, media binary, declared string, spans int")
+    (r,) = media.sniff(media.store_samples(df)).collect()
+    assert bytes(r.media) == media.contain(b"a" * 64) and r.id == 1
+    assert media.sniff(media.store_samples(df.limit(0))).count() == 0

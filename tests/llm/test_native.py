@@ -5,7 +5,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from logloom.llm import linededup, sharding
+from logloom.llm import linededup, queries, sharding
 
 SCHEMA = "doc_id long, text string, part int, id string, size int"
 
@@ -108,3 +108,57 @@ def test_line_dedup_against_brute_force(spark):
         want.append((str(i), "\n".join(kept), len((t or "").split("\n")) - len(kept)))
     assert sorted((str(r.doc_id), r.kept, r.n_dropped) for r in out) == sorted(want)
     assert {"part", "id", "size"} <= set(out[0].asDict())
+
+
+def test_op1_query_keeps_its_law(spark):
+    d = "/root/testdata/sf0.001"
+    rows = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = queries.op1_shard(spark, d).collect()
+    assert sorted(r.doc_id for r in got) == sorted(rows)
+    by_shard, by_text, load = {}, {}, {}
+    for r in got:
+        raw = rows[r.doc_id]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None) and 0 <= r.shard < 16
+        by_shard.setdefault(r.shard, []).append(r.slot)
+        by_text.setdefault(raw, set()).add(r.shard)
+        load[r.shard] = load.get(r.shard, 0) + r.size
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values()) and all(len(v) == 1 for v in by_text.values())
+    # Groups in the order of their least id: no cut into 16 shards has a smaller largest one.
+    sizes, first = {}, {}
+    for i, raw in rows.items():
+        sizes[raw] = sizes.get(raw, 0) + len(raw) + 1
+        first[raw] = min(i, first.get(raw, i))
+    order = [sizes[raw] for raw in sorted(sizes, key=first.__getitem__)]
+
+    def shards(cap):
+        n, room = 1, cap
+        for s in order:
+            n, room = (n + 1, cap - s) if s > room else (n, room - s)
+        return n
+
+    low, high = max(order), sum(order)
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if shards(mid) <= 16 else (mid + 1, high)
+    assert max(load.values()) == low
+
+
+def test_bitmaps_cut_the_lines_they_name(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        n = r.choice([1, 63, 64, 65, 128, 300, 1000])
+        gone = {k for k in range(n) if r.random() < r.choice([0.01, 0.5, 1])} or {n - 1}
+        words = sorted({k // 64 for k in gone})
+        bits = [sum(1 << (k % 64) for k in gone if k // 64 == w) for w in words]
+        drops = [(w, b - (1 << 64) if b >> 63 else b) for w, b in zip(words, bits, strict=True)]
+        rows.append((i, "\n".join(f"{i}-{k}" for k in range(n)), drops, "\n".join(f"{i}-{k}" for k in range(n) if k not in gone)))
+    rows.append((99, None, None, ""))
+    df = spark.createDataFrame(rows, "id int, text string, drops array<struct<word:int,bits:long>>, want string")
+    assert df.select(linededup.apply_bitmap(F.col("text"), F.col("drops")).alias("got"), "want").where("NOT got <=> want").count() == 0
+
+
+def test_line_dedup_replaces_columns_of_its_outputs_names(spark):
+    df = spark.createDataFrame([(1, "a line to keep\nx", "d", 5), (2, "A line to keep", "d", 5), (2, None, "e", 5)], "doc_id long, text string, drops string, n_dropped int")
+    out = {(r.doc_id, r.text): r for r in linededup.dedup_lines(df).collect()}
+    assert out[2, "A line to keep"].n_dropped == 1 and out[1, "a line to keep\nx"].n_dropped == 0 and out[2, None].drops is None
