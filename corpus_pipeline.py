@@ -1,7 +1,7 @@
 """Corpus pipeline: toxicity, line de-duplication, near-duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-run() writes each result to the cluster's shared folder and gives what it reads back to the next stage.
+run() writes each result to the cluster's shared folder, gives what it reads back to the next stage and deletes what is done.
 """
 
 import public_tokenizers
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import decontaminate, linededup, neardup, packing, toxicity
-from logloom.llm.common import Scratch, read_table
+from logloom.llm.common import Scratch, cleaned, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        with cleaned():  # a stage's own tables go once its result is written
+            docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
