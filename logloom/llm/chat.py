@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.common import lean
+
 END = "</turn>\n"
 TRAINED = "assistant"
 _ESCAPED = {"\\\\": "\\", "\\#": "#", "\\/": "/", "\\c": ":"}
@@ -109,4 +111,4 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
             yield flush()
 
     sorted_rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return sorted_rows.mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
+    return sorted_rows.mapInArrow(lean(run), f"conv_id {kind}, example long, text string, loss_start long, loss_end long")

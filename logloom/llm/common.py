@@ -75,6 +75,27 @@ class Scratch:
         self._delete(self.root)
 
 
+def lean(run):
+    """A function over batches that gives what it has freed back to the system at its end: workers wait long between tasks."""
+
+    def all_of(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return all_of
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -93,7 +114,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bits of a key filter, and of each of its pieces.
-FILTER_BITS, PIECE_BITS = 1 << 27, 1 << 15
+FILTER_BITS, PIECE_BITS = 1 << 26, 1 << 15
 
 
 def _place(key: Column) -> tuple[Column, Column]:
@@ -104,7 +125,7 @@ def _place(key: Column) -> tuple[Column, Column]:
 def may_be_in(df: DataFrame, key: str, keys: DataFrame, flag: str) -> DataFrame:
     """df with flag: false only where key is surely not among keys (which has a column of that name).
 
-    The filter sent to the tasks has FILTER_BITS bits (16 MB) at most.  Past some hundred million keys it fills up and more
+    The filter sent to the tasks has FILTER_BITS bits (8 MB) at most.  Past some hundred million keys it fills up and more
     rows than needed are flagged; none is missed."""
     piece, bits = free_name(df, "_piece"), free_name(df, "_bits")
     number, at = _place(F.col(key))

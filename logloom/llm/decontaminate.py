@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER_BYTES, Scratch, free_name, join_found
+from logloom.llm.common import LOWER_BYTES, Scratch, free_name, join_found, lean
 from logloom.llm.neardup import between, mix, running
 
 WINDOW = 10
@@ -230,7 +230,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), _as_dicts([_ranges([(h["start"], h["length"]) for h in r]) for r in b.column(1).to_pylist()], _HITS), b.column(2)], [tk, "hits", "matches"])
 
     kinds = _TYPES.partition(", ")[2]
-    found = scratch.table(found.mapInArrow(tidy, f"`{tk}` binary, {kinds}"), "found")
+    found = scratch.table(found.mapInArrow(lean(tidy), f"`{tk}` binary, {kinds}"), "found")
     joined = join_found(own, found, [tk])
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
@@ -259,7 +259,7 @@ def _pass(docs: DataFrame, sent, text_col: str, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n_words, pa.int64()), _as_dicts(hits, _HITS), _as_dicts(matches, _MATCHES)], [*kept, *OURS])
                 begin = end
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def n_hit(hits: Column) -> Column:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER_BYTES, Scratch, may_be_in
+from logloom.llm.common import LOWER_BYTES, Scratch, lean, may_be_in
 
 SHINGLE, BANDS, ROWS = 5, 40, 5
 #: Bands of the first round, and members of a bucket whose pairs are all candidates.
@@ -194,7 +194,7 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sig = pa.array([low[k].tobytes() if m else None for k, m in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(set_keys(h, n), pa.binary()), bands, sig], ["id", "n", "cid", "bands", "sig"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, cid binary, bands array<long>, sig binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, n long, cid binary, bands array<long>, sig binary")
 
 
 def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
 
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     texts = may_be_in(texts, "rep", wanted.select("rep"), "hit").where("hit").join(wanted.select("node", "cid", "rep"), "rep")
-    once = texts.select("node", "cid", "text").mapInArrow(run, "node long, shingles array<long>")
+    once = texts.select("node", "cid", "text").mapInArrow(lean(run), "node long, shingles array<long>")
     return once.groupBy("node").agg(F.first("shingles").alias("shingles"))  # repeated rows of one id
 
 
@@ -230,7 +230,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c: classes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "shared", "sig_a", "sig_b", "n_a", "n_b")
-    return joined.mapInArrow(run, "a long, b long, shared long")
+    return joined.mapInArrow(lean(run), "a long, b long, shared long")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +268,7 @@ def _forest(edges: DataFrame) -> DataFrame:
         yield found()
 
     parts = 1 + edges.count() // max(FOREST, 1)  # as few as hold all edges: each joins more than any part of it would
-    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(parts).mapInArrow(run, "u long, v long").distinct()
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(parts).mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

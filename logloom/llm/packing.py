@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from logloom.llm.common import lean
+
 WINDOW = 1024
 TIERS = (128, 256, 512, 1024)
 #: Tokens for a step group, nearly.
@@ -185,4 +187,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from flush(id_type)
 
     more = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, window long, step_group long"
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {more}")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, {more}")

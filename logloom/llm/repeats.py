@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import LOWER_BYTES, Scratch, free_name, may_be_in
+from logloom.llm.common import LOWER_BYTES, Scratch, free_name, lean, may_be_in
 from logloom.llm.neardup import _sliced, between, byte_values, mix, powers, range_hashes, running
 
 LENGTH, SPREAD, BLOCK, SPLIT = 400, 192, 16, 4096
@@ -251,7 +251,7 @@ def _all_runs(docs: DataFrame, sizes: tuple) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x + shift) for x in (a, i0, i1))], _RUN)
 
     long_enough = F.length("raw") >= min(sizes[0][0], 2 * sizes[1][0] - 1)
-    return docs.select("raw", "tk", "row").where(long_enough).mapInArrow(run, "core long, whole long, words boolean, row long, tk binary, a long, i0 long, i1 long")
+    return docs.select("raw", "tk", "row").where(long_enough).mapInArrow(lean(run), "core long, whole long, words boolean, row long, tk binary, a long, i0 long, i1 long")
 
 
 _BLOCK = ["core", "part", "whole", "words", "number", "left", "right", "n", "row"]
@@ -293,7 +293,7 @@ def _blocks(texts: DataFrame, sizes: tuple) -> DataFrame:
         kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64()] + [pa.binary()] * 2 + [pa.int64()] * 2
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _BLOCK)
 
-    return texts.select("raw", "some").mapInArrow(run, "core long, part long, whole long, words boolean, number long, left binary, right binary, n long, row long")
+    return texts.select("raw", "some").mapInArrow(lean(run), "core long, part long, whole long, words boolean, number long, left binary, right binary, n long, row long")
 
 
 def window_hashes(left: bytes, right: bytes, spread: int) -> tuple[int, np.ndarray]:
@@ -334,7 +334,7 @@ def _judge_words(runs_: DataFrame, spread: int) -> DataFrame:
         judge()
         yield batch()
 
-    return runs_.repartition("core").sortWithinPartitions("core").mapInArrow(run, "core long, whole long, takes long")
+    return runs_.repartition("core").sortWithinPartitions("core").mapInArrow(lean(run), "core long, whole long, takes long")
 
 
 def _count_words(runs_: DataFrame, spread: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _count_words(runs_: DataFrame, spread: int) -> DataFrame:
                 columns = [np.full(size, core), np.full(size, whole), np.arange(least, least + size), hashes.view(np.int64), np.full(size, n), np.full(size, row)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["core", "whole", "takes", "h", "n", "row"])
 
-    each = runs_.mapInArrow(run, "core long, whole long, takes long, h long, n long, row long")
+    each = runs_.mapInArrow(lean(run), "core long, whole long, takes long, h long, n long, row long")
     twice = each.groupBy("core", "h").agg(((F.min("row") != F.max("row")) | (F.max("n") > 1)).alias("twice")).where("twice").select("core", "h")
     return each.join(twice, ["core", "h"], "left_semi").select("core", "whole", "takes")
 
@@ -379,7 +379,7 @@ def _judge_blocks(blocks: DataFrame, block: int) -> DataFrame:
             yield from judge()
 
     rows = blocks.select("core", "part", "left", "right").repartition("core", "part").sortWithinPartitions("core", "part")
-    return rows.mapInArrow(run, "core long, part long, left binary, right binary, takes long")
+    return rows.mapInArrow(lean(run), "core long, part long, left binary, right binary, takes long")
 
 
 def _count_windows(blocks: DataFrame, block: int) -> DataFrame:
@@ -489,4 +489,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), f"spans {kind}, kept binary, passages {kind}"])
     nothing = F.array().cast(kind)
     untouched = marked.where(~F.col(hit)).select(*names, nothing.alias("spans"), raw.alias("kept"), nothing.alias("passages"))
-    return joined.mapInArrow(cut, schema).unionByName(untouched)
+    return joined.mapInArrow(lean(cut), schema).unionByName(untouched)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch
+from logloom.llm.common import Scratch, lean
 from logloom.llm.decontaminate import words
 from logloom.llm.neardup import _sliced
 
@@ -55,7 +55,7 @@ class _Terms(dict):
         self.heads = {t.encode()[:3] for t in terms}  # most words begin like no term
 
     def __missing__(self, word: bytes):
-        if len(self) > 1 << 17:
+        if len(self) > 1 << 15:
             self.clear()
         found = self[word] = tuple(t for f in features(word) if (t := self.terms.get(f)) is not None)
         return found
@@ -223,7 +223,7 @@ def _terms(examples: DataFrame) -> dict[str, int]:
     if not positive or positive == total:
         return {}
     rate = positive / total
-    counts = examples.select("text", "label").mapInArrow(count, "term string, n long, y long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    counts = examples.select("text", "label").mapInArrow(lean(count), "term string, n long, y long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     gap = F.col("y") - F.col("n") * rate
     chi2 = gap * gap / (F.col("n") * rate * (1 - rate))
     lifted = F.col("y") * (1 - rate) >= LIFT * rate * (F.col("n") - F.col("y"))  # odds, not shares: a share cannot be LIFT times a rate above 1 / LIFT
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
     def read(batches):
         """Marked terms of every example, and the words of those that have none."""
         known_terms = _Terms(sent.value, {})
-        for b in batches:
+        for b in _sliced(batches):
             found = [vectors(t and t.encode(), known_terms)[0] for t in b.column(1).to_pylist()]
             spare = [None if v else [] if not t else list(Counter(words(t.encode())).items()) for v, t in zip(found, b.column(1).to_pylist(), strict=True)]
             lists = [[list(v) for v in found], [list(v.values()) for v in found], [None if s is None else [w for w, _ in s] for s in spare], [None if s is None else [n for _, n in s] for s in spare]]
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.list_(k)) for x, k in zip(lists, kinds, strict=True))], ["id", "label", "terms", "counts", "words", "times"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = joined.select("id", "text", "label").mapInArrow(read, f"id {kind}, label int, terms array<int>, counts array<int>, words array<binary>, times array<int>")
+    rows = joined.select("id", "text", "label").mapInArrow(lean(read), f"id {kind}, label int, terms array<int>, counts array<int>, words array<binary>, times array<int>")
     rows = scratch.table(rows, "examples")
     marked = [(r["id"], dict(zip(r["terms"], r["counts"], strict=True)), r["label"]) for r in rows.where("size(terms) > 0").select("id", "label", "terms", "counts").collect()]
     marked.sort(key=lambda r: (str(r[0]), sorted(r[1].items())))
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "do
 
     df, n_docs = np.zeros(len(terms) + len(vocabulary)), 0
     if len(df):
-        for r in docs.select(text_col).mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        for r in docs.select(text_col).mapInArrow(lean(frequencies), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             if r["term"] < 0:
                 n_docs = r["n"]
             else:
@@ -318,7 +318,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", evide
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array([int(s >= REJECT) for s in scores], pa.int32()), pa.array(why, types)], [*kept, *OURS])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double, predicted int, evidence array<struct<id:string,cosine:double,label:int>>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: Column) -> Column:

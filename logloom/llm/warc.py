@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Scratch, join_found
+from logloom.llm.common import Scratch, join_found, lean
 
 #: Uncompressed bytes after which the writer closes an archive.
 ARCHIVE_BYTES = 16 << 20
@@ -77,7 +77,7 @@ def write_archives(rows: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataF
         if stream:
             yield pa.RecordBatch.from_pydict({"name": [f"{task:06d}-{n:06d}.warc.gz"], "content": [b"".join([*out, stream.flush()])]})
 
-    return rows.select("id", "url", "payload", "refers_to").mapInArrow(write, "name string, content binary")
+    return rows.select("id", "url", "payload", "refers_to").mapInArrow(lean(write), "name string, content binary")
 
 
 def inflate(content: bytes):
@@ -139,7 +139,7 @@ def normalise(archives: DataFrame) -> DataFrame:
                     at += len(packed)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(out)], pa.binary()), pa.array([index], _INDEX)], ["name", "content", "index"])
 
-    return archives.select("name", "content").mapInArrow(rewrite, "name string, content binary, index array<struct<offset:bigint,length:bigint,record_id:string,type:string,uri:string>>")
+    return archives.select("name", "content").mapInArrow(lean(rewrite), "name string, content binary, index array<struct<offset:bigint,length:bigint,record_id:string,type:string,uri:string>>")
 
 
 def sidecar(normalised: DataFrame) -> DataFrame:
@@ -180,4 +180,4 @@ def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
         kinds = [pa.string()] * 4 + [pa.binary(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "uri", "type", "refers_to", "payload", "payload_bytes", "digest"])
 
-    return archives.select("content", "index").mapInArrow(read, "id string, uri string, type string, refers_to string, payload binary, payload_bytes long, digest string")
+    return archives.select("content", "index").mapInArrow(lean(read), "id string, uri string, type string, refers_to string, payload binary, payload_bytes long, digest string")
